@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontamination, license_scan, line_dedup, mixing, pii, quality, simhash, token_counts
+from strandframe.llm import decontamination, license_scan, line_dedup, lm_scoring, mixing, pii, quality, simhash, suffix_dedup, token_counts
 from strandframe.llm._common import table
 
 OVER = 1024
@@ -29,6 +29,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf_dir, "documents"), spans_col="spans")
     return done.select("doc_id", F.size("spans").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("spans.type")), ",").alias("types"), "text")
@@ -54,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_license_scan, op3_simhash, op6_pii_surrogates, op7_source_mix, op8_line_dedup, op9_decontamination, op10_quality_rules)
+    own = (op1_token_counts, op2_license_scan, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_pii_surrogates, op7_source_mix, op8_line_dedup, op9_decontamination, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
