@@ -1 +1,173 @@
-"""Queries: statistics."""
+"""Queries of the estimators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.operators import statistics as st
+from strandframe.plans._tables import read
+from strandframe.plans.registry import register
+
+_X = "o as (select o_orderpriority as level, o_custkey, o_orderkey, log10(o_orderkey) as x, log10(o_totalprice) as y from orders where o_orderkey > 0)"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("level"), "o_custkey", "o_orderkey", F.log10(F.col("o_orderkey").cast("double")).alias("x"), F.log10("o_totalprice").alias("y")).where("x is not null")
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@register("stat_quantile_linear", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) as low, round(quantile_cont(l_extendedprice, 0.5), 6) as middle, round(quantile_cont(l_extendedprice, 0.975), 6) as high from lineitem group by 1")
+def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    q = lambda p: F.round(st.quantile_linear("l_extendedprice", p), 6)
+    return li.groupBy("l_returnflag").agg(q(0.025).alias("low"), q(0.5).alias("middle"), q(0.975).alias("high"))
+
+
+@register("stat_quantile_nearest", "with s as (select l_suppkey, list(l_extendedprice order by l_extendedprice) as v from lineitem group by 1) select l_suppkey, v[round_even((len(v) - 1) * 0.25, 0)::int + 1] as low, v[round_even((len(v) - 1) * 0.75, 0)::int + 1] as high from s")
+def quantile_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy("l_suppkey").agg(st.quantile_nearest("l_extendedprice", 0.25).alias("low"), st.quantile_nearest("l_extendedprice", 0.75).alias("high"))
+
+
+@register("stat_quantile_outer", "with s as (select l_suppkey, list(l_extendedprice order by l_extendedprice) as v from lineitem group by 1) select l_suppkey, v[floor((len(v) - 1) * 0.025)::int + 1] as low, v[ceil((len(v) - 1) * 0.975)::int + 1] as high from s")
+def quantile_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy("l_suppkey").agg(st.quantile_outer("l_extendedprice", 0.025, True).alias("low"), st.quantile_outer("l_extendedprice", 0.975, False).alias("high"))
+
+
+@register("stat_tertile_strata", "with v as (select list(c_acctbal order by c_acctbal) as v from customer), c as (select v[len(v) // 3] as t1, v[2 * len(v) // 3] as t2 from v) select case when c_acctbal <= t1 then 'low' when c_acctbal <= t2 then 'middle' else 'high' end as stratum, count(*) as n, min(c_acctbal) as least from customer, c group by 1")
+def tertile_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.tertiles(read(spark, sf_dir, "customer"), "c_acctbal").groupBy("stratum").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("least"))
+
+
+_Z = "1.959963984540054"
+
+
+@register("stat_wilson_interval", f"""with c as (select l_suppkey, count(*) filter (where l_returnflag = 'R') as k, count(*) as n from lineitem group by 1), p as (select *, k / n::double as p, {_Z} * {_Z} as zz from c)
+select l_suppkey, round(greatest(0, ((p + zz / (2 * n)) - {_Z} * sqrt(p * (1 - p) / n + zz / (4.0 * n * n))) / (1 + zz / n)), 9) as low, round(least(1, ((p + zz / (2 * n)) + {_Z} * sqrt(p * (1 - p) / n + zz / (4.0 * n * n))) / (1 + zz / n)), 9) as high from p""")
+def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    low, high = st.wilson(F.col("k"), F.col("n"))
+    return c.select("l_suppkey", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@register("stat_tukey_outliers", "with x as (select o_orderkey, o_orderpriority, log10(o_totalprice) as x from orders), f as (select o_orderpriority, quantile_cont(x, 0.25) as a, quantile_cont(x, 0.75) as b from x group by 1 having count(*) >= 4) select o_orderkey, o_orderpriority from x join f using (o_orderpriority) where x < a - 1.5 * (b - a) or x > b + 1.5 * (b - a)")
+def tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.tukey_outliers(read(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+@register("stat_ols", f"with {_X} select level, count(*) as n, round(regr_slope(y, x), 6) as effect, round(regr_intercept(y, x), 6) as intercept, round(regr_r2(y, x), 6) as r2 from o group by level")
+def ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(st.ols(_orders(spark, sf_dir), "x", "y", ["level"]).select("level", "n", "effect", "intercept", "r2"), "effect", "intercept", "r2")
+
+
+@register("stat_ols_fixed_effects", f"with {_X}, d as (select x - avg(x) over (partition by level) as u, y - avg(y) over (partition by level) as v, y - avg(y) over () as w, level from o) select count(*) as n, count(distinct level) as levels, round(sum(u * v) / sum(u * u), 6) as effect, round(1 - (sum(v * v) - sum(u * v) * sum(u * v) / sum(u * u)) / sum(w * w), 6) as r2 from d")
+def ols_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(st.ols_fixed_effects(_orders(spark, sf_dir), "x", "y", "level").select("n", "levels", "effect", "r2"), "effect", "r2")
+
+
+@register("stat_quadratic", """with o as (select o_orderkey / 1000.0 as x, log10(o_totalprice) as y from orders), c as (select x - avg(x) over () as u, y as v from o),
+s as (select count(*)::double as n, sum(u*u) as s2, sum(u*u*u) as s3, sum(u*u*u*u) as s4, sum(v) as t0, sum(u*v) as t1, sum(u*u*v) as t2 from c)
+select n::bigint as n, round(((t2 - s2 * t0 / n) * s2 - s3 * t1) / ((s4 - s2 * s2 / n) * s2 - s3 * s3), 6) as quadratic, round(((s4 - s2 * s2 / n) * t1 - s3 * (t2 - s2 * t0 / n)) / ((s4 - s2 * s2 / n) * s2 - s3 * s3), 6) as linear from s""")
+def quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select((F.col("o_orderkey") / 1000.0).alias("x"), F.log10("o_totalprice").alias("y"))
+    return _rounded(st.quadratic(o, "x", "y").select("n", "quadratic", "linear"), "quadratic", "linear")
+
+
+@register("stat_leave_one_out", f"""with {_X}, p as (select level, count(*)::double as n, sum(x) as sx, sum(y) as sy, sum(x*x) as sxx, sum(x*y) as sxy from o group by level), t as (select sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from p),
+r as (select t.n - p.n as n, t.sx - p.sx as sx, t.sy - p.sy as sy, t.sxx - p.sxx as sxx, t.sxy - p.sxy as sxy from p, t)
+select count(*) as n, round(min((sxy - sx * sy / n) / (sxx - sx * sx / n)), 6) as min_effect, round(max((sxy - sx * sy / n) / (sxx - sx * sx / n)), 6) as max_effect from r""")
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(st.leave_one_out(_orders(spark, sf_dir), "x", "y", "level"), "min_effect", "max_effect")
+
+
+@register("stat_split_clades", "select o_custkey, count(*) as n from orders group by 1 having count(*) >= 16")
+def split_clades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.with_enough(read(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 16).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@register("stat_benjamini_hochberg", """with p as (select c_custkey, c_mktsegment, ((c_custkey * 7919) % 10007) / 10007.0 as p from customer),
+r as (select *, count(*) over (partition by c_mktsegment) as m, row_number() over (partition by c_mktsegment order by p) as k from p)
+select c_custkey, round(min(least(1.0, p * m / k)) over (partition by c_mktsegment order by k desc rows unbounded preceding), 9) as q from r""")
+def bh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", ((F.col("c_custkey") * 7919) % 10007 / 10007.0).alias("p"))
+    return st.benjamini_hochberg(c, "p", ["c_mktsegment"]).select("c_custkey", F.round("q", 9).alias("q"))
+
+
+@register("stat_correlations", """with o as (select c_mktsegment, c_acctbal as x, (c_custkey % 100)::double as y, c_nationkey::double as z from customer),
+r as (select *, avg(rx) over (partition by c_mktsegment, x) as ax, avg(ry) over (partition by c_mktsegment, y) as ay from (select *, row_number() over (partition by c_mktsegment order by x) as rx, row_number() over (partition by c_mktsegment order by y) as ry from o))
+select c_mktsegment, count(*) as n, round(corr(x, y), 6) as pearson, round(corr(ax, ay), 6) as spearman, round((corr(x, y) - corr(x, z) * corr(y, z)) / sqrt((1 - corr(x, z) ** 2) * (1 - corr(y, z) ** 2)), 6) as partial from r group by c_mktsegment""")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), F.col("c_nationkey").cast("double").alias("z"))
+    return _rounded(st.correlations(c, "x", "y", "z", ["c_mktsegment"]), "pearson", "spearman", "partial")
+
+
+@register("stat_jackknife", """with b as (select l_suppkey, count(*)::double as n, sum(l_quantity) as q from lineitem group by 1), t as (select sum(n) as n, sum(q) as q from b),
+e as (select (t.q - b.q) / (t.n - b.n) as e, t.q / t.n as p from b, t)
+select count(*) as n, round(sqrt((count(*) - 1) * var_pop(e)), 9) as standard_error, round(greatest(0, any_value(p) - 1.959963984540054 * sqrt((count(*) - 1) * var_pop(e))), 6) as low, round(any_value(p) + 1.959963984540054 * sqrt((count(*) - 1) * var_pop(e)), 6) as high from e""")
+def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    t = b.agg(F.sum("n").alias("tn"), F.sum("q").alias("tq"))
+    e = b.crossJoin(F.broadcast(t)).select(((F.col("tq") - F.col("q")) / (F.col("tn") - F.col("n"))).alias("e"), (F.col("tq") / F.col("tn")).alias("p"))  # one row
+    out = st.jackknife(e, "e", "p")
+    return out.select("n", F.round("standard_error", 9).alias("standard_error"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@register(
+    "stat_block_bootstrap",
+    r"""with b as (select (l_suppkey % 5)::varchar as contig, l_partkey // 50 as block, count(*) filter (where l_returnflag = 'R')::bigint as num, count(*) as den from lineitem group by 1, 2),
+i as (select *, row_number() over (partition by contig order by block) - 1 as i, count(*) over (partition by contig) as n from b),
+s as (select substr(sha256('policy' || chr(0) || 'lineitem' || chr(0) || 'returns'), 1, 16) as seed),
+d as (select contig, n, g.draw, r.rep from (select distinct contig, n from i) c, lateral (select unnest(range(0, n)) as draw) g, (select unnest(range(0, 100)) as rep) r),
+h as (select contig, rep, ('0x' || substr(sha256(unhex(seed || lpad(printf('%x', rep), 16, '0') || lpad(printf('%x', strlen(contig)), 8, '0') || hex(contig) || lpad(printf('%x', draw), 16, '0'))), 1, 16))::ubigint % n as i from d, s),
+e as (select rep, sum(num) / sum(den)::double as e from h join i using (contig, i) group by rep)
+select (select count(*) from b) as blocks, round(quantile_cont(e, 0.025), 9) as low, round(quantile_cont(e, 0.975), 9) as high from e""",
+)
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    b = li.groupBy((F.col("l_suppkey") % 5).cast("string").alias("contig"), F.floor(F.col("l_partkey") / 50).alias("block")).agg(F.count_if(F.col("l_returnflag") == "R").alias("num"), F.count("*").alias("den"))
+    return _rounded(st.block_bootstrap(b, "policy", "lineitem", "returns", 100), "low", "high", digits=9)
+
+
+@register("stat_power_law", "with o as (select ln(l_quantity) as x, ln(l_extendedprice) as y, l_returnflag from lineitem) select l_returnflag, count(*) as n, round(regr_slope(y, x), 6) as effect, round(regr_intercept(y, x), 6) as intercept from o group by 1")
+def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(st.power_law(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", "n", "effect", "intercept"), "effect", "intercept")
+
+
+@register("stat_aic", "with o as (select l_returnflag, regr_count(l_extendedprice, l_quantity)::double as n, regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity) ** 2 / regr_sxx(l_extendedprice, l_quantity) as rss from lineitem group by 1) select l_returnflag, round(n * ln(rss / n / n) + 6, 4) as aic from o")
+def aic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = "l_quantity", "l_extendedprice"
+    o = read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), (F.regr_syy(y, x) - F.regr_sxy(y, x) ** 2 / F.regr_sxx(y, x)).alias("rss"))
+    return o.select("l_returnflag", F.round(st.aic(F.col("rss"), F.col("n"), 2), 4).alias("aic"))
+
+
+@register("stat_split_half_slopes", "with m as (select avg(l_quantity) as m from lineitem) select case when l_quantity < m then 'low' else 'high' end as half, count(*) as n, round(regr_slope(l_extendedprice, l_quantity), 6) as slope from lineitem, m group by 1")
+def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(st.split_half_slopes(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "slope")
+
+
+@register("stat_ratio_of_marginals", """with b as (select l_suppkey, avg(l_extendedprice) filter (where l_linestatus = 'O') as s, avg(l_extendedprice) filter (where l_linestatus = 'F') as w from lineitem group by 1)
+select l_suppkey, round(s / w, 9) as ratio, round((0.9 * s) / (1.1 * w), 9) as low, round((1.1 * s) / (0.9 * w), 9) as high from b""")
+def ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_extendedprice")))
+    b = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(mean("O").alias("s"), mean("F").alias("w"))
+    s, w = F.col("s"), F.col("w")
+    got = st.ratio_of_marginals(s, 0.9 * s, 1.1 * s, w, 0.9 * w, 1.1 * w)
+    return b.select("l_suppkey", *[F.round(c, 9).alias(n) for c, n in zip(got, ("ratio", "low", "high"), strict=True)])
+
+
+@register("stat_michaelis_menten")
+def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.avg("l_extendedprice").alias("price"))
+    return st.michaelis_menten(per, "l_quantity", "price", ["l_returnflag"])
+
+
+@register("stat_two_sided_p")
+def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = st.ols(_orders(spark, sf_dir), "x", "y", ["level"])
+    return fit.select("level", "effect", st.two_sided_p("z").alias("p"))
