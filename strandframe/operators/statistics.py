@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054
 
@@ -65,7 +66,7 @@ def tukey_outliers(df: DataFrame, value: str, keys: Sequence[str], log10: bool =
     return joined.where((F.col("_x") < F.col("_q1") - reach) | (F.col("_x") > F.col("_q3") + reach)).drop("_x", "_q1", "_q3", "_n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Normal two-sided p of a z value; none for null, and 0 for an infinite one."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)

@@ -1 +1,264 @@
-"""Queries: genome."""
+"""Queries of sequences, codons, genotypes and diversity: sequences are made of the documents' letters."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.operators import intervals as iv
+from strandframe.operators import population as po
+from strandframe.operators import reads as rd
+from strandframe.operators import sequence as sq
+from strandframe.plans import _tables as t
+from strandframe.plans._tables import read
+from strandframe.plans.registry import register
+
+_FROM, _TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+_SEQ = f"s as (select doc_id, lang, source, regexp_replace(translate(lower(text), '{_FROM}', '{_TO}'), '[^ACGT]', 'N', 'g') as seq from documents)"
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.regexp_replace(F.translate(F.lower("text"), _FROM, _TO), "[^ACGT]", "N")
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", seq.alias("seq"))
+
+
+_CODE = "c as (select * from (values " + ", ".join(f"('{c}', '{a}', {str(c in sq.FOURFOLD).lower()})" for c, a in sq.CODONS.items()) + ") as v(codon, amino, fourfold))"
+
+
+@register("seq_symbol_counts", f"with {_SEQ} select lang, " + ", ".join(f"sum(length(seq) - length(replace(seq, '{b}', '')))::bigint as \"{b}\"" for b in "ACGTN") + " from s group by lang")
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.symbol_counts(_sequences(spark, sf_dir), "seq", ["lang"])
+
+
+@register("seq_gc_content", f"with {_SEQ}, k as (select source, sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) as gc, sum(length(replace(seq, 'N', ''))) as n from s group by source) select source, gc::bigint as gc, n::bigint as acgt, round(gc / n::double, 9) as gc_fraction from k")
+def gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.gc_content(_sequences(spark, sf_dir), "seq", ["source"]).withColumn("gc_fraction", F.round("gc_fraction", 9))
+
+
+@register("seq_reverse_complement", f"with {_SEQ} select doc_id, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) as digest from s")
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).select("doc_id", F.md5(sq.reverse_complement("seq")).alias("digest"))
+
+
+_COD = "k as (select doc_id, lang, i as codon_index, seq[3 * i + 1 : 3 * i + 3] as codon from s, lateral (select unnest(range(0, length(seq) // 3)) as i) g)"
+
+
+@register("seq_codon_usage", f"with {_SEQ}, {_CODE}, {_COD} select lang, codon, any_value(amino) as amino, count(*) as n from k join c using (codon) group by lang, codon")
+def codon_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sq.codons(_sequences(spark, sf_dir), "seq").groupBy("lang", "codon").agg(F.count("*").alias("n"))
+    return rows.join(F.broadcast(sq.codon_table(spark)), "codon").select("lang", "codon", "amino", "n")  # 64 rows
+
+
+@register("seq_fourfold_codons", f"with {_SEQ}, {_CODE}, {_COD} select doc_id, count(*) filter (where fourfold) as fourfold, count(*) as codons from k join c using (codon) group by doc_id")
+def fourfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sq.codons(_sequences(spark, sf_dir), "seq").join(F.broadcast(sq.codon_table(spark)), "codon")  # 64 rows
+    return rows.groupBy("doc_id").agg(F.count_if("fourfold").alias("fourfold"), F.count("*").alias("codons"))
+
+
+@register("seq_gc3", f"with {_SEQ}, {_COD}, x as (select lang, codon[3] as b from k) select lang, count(*) filter (where b in ('G', 'C')) as gc3_gc, count(*) filter (where b <> 'N') as gc3_sites, round(count(*) filter (where b in ('G', 'C')) / (count(*) filter (where b <> 'N'))::double, 9) as gc3 from x group by lang")
+def gc3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.gc3(_sequences(spark, sf_dir), "seq", ["lang"]).withColumn("gc3", F.round("gc3", 9))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, size: int = 1 << 16) -> DataFrame:
+    return sq.chunks(_sequences(spark, sf_dir).withColumnRenamed("doc_id", "contig"), "seq", size=size)
+
+
+@register("seq_non_acgt_intervals", f"with {_SEQ}, p as (select doc_id, i - 1 as pos from s, lateral (select unnest(range(1, length(seq) + 1)) as i) g where seq[i] = 'N'), g as (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as k from p) select doc_id as contig, min(pos)::bigint as start, max(pos)::bigint + 1 as end_ from g group by doc_id, k")
+def non_acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.non_acgt(_chunks(spark, sf_dir, 1000)).withColumnRenamed("end", "end_")
+
+
+@register("seq_low_complexity")
+def low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sq.low_complexity(_chunks(spark, sf_dir)).withColumnRenamed("end", "end_")
+
+
+@register("seq_fetch_spans", f"with {_SEQ} select doc_id as contig, md5(seq[151:450]) as digest from s where length(seq) >= 450")
+def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _chunks(spark, sf_dir, 200)
+    spans = _sequences(spark, sf_dir).where(F.length("seq") >= 450).select(F.col("doc_id").alias("contig"), F.lit(150).cast("long").alias("start"), F.lit(450).cast("long").alias("end"))
+    return sq.fetch(table, spans, 200).select("contig", F.md5("sequence").alias("digest"))
+
+
+@register("seq_psmcfa", f"with {_SEQ}, b as (select doc_id, i as bin, translate(seq, 'N', 'A')[100 * i + 1 : 100 * i + 100] as piece from s, lateral (select unnest(range(0, (length(seq) + 99) // 100)) as i) g) select doc_id as contig, bin, case when length(piece) < 100 then 'N' else 'T' end as symbol from b")
+def psmcfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _chunks(spark, sf_dir, 1000).withColumn("seq", F.translate("seq", "N", "A"))
+    return sq.psmcfa(table)
+
+
+@register("seq_wrapped_lines", f"with {_SEQ} select doc_id, ((length(seq) + 59) // 60)::bigint as lines, md5(seq[1:60]) as first from s where length(seq) > 0")
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = sq.wrapped("seq")
+    return _sequences(spark, sf_dir).where(F.length("seq") > 0).select("doc_id", F.size(w).cast("long").alias("lines"), F.md5(F.element_at(w, 1)).alias("first"))
+
+
+_SNP = "v as (select l_orderkey * 10 + l_linenumber as id, l_suppkey as contig, l_partkey as pos, ['A','C','G','T'][(l_partkey % 4 + 1)::int] as ref, ['A','C','G','T','AT'][(l_quantity::bigint % 5 + 1)::int] as alt from lineitem)"
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bases = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), bases(["A", "C", "G", "T"], F.col("l_partkey") % 4).alias("ref"), bases(["A", "C", "G", "T", "AT"], F.col("l_quantity").cast("long") % 5).alias("alt"))
+
+
+@register("variant_change_class", f"with {_SNP} select case when ref in ('A','T') and alt in ('C','G') then 'WS' when ref in ('C','G') and alt in ('A','T') then 'SW' else 'none' end as kind, count(*) as n from v group by 1")
+def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(sq.change_class(F.col("ref"), F.col("alt")), F.lit("none"))
+    return _variants(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@register("variant_snv_filter", f"with {_SNP} select contig, count(*) as n from v where length(alt) = 1 group by contig")
+def snv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _variants(spark, sf_dir).where(sq.is_snv(F.col("ref"), F.array("alt")))
+    return v.groupBy("contig").agg(F.count("*").alias("n"))
+
+
+@register("variant_site_exclusions", f"with {_SNP} select case when pos < 100 then 'outside_denominator' when pos % 7 = 0 then 'filtered' when pos % 11 < 2 then 'insufficient_called' when length(alt) > 1 then 'non_snv' else 'kept' end as reason, count(*) as n from v group by 1")
+def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _variants(spark, sf_dir)
+    filters = F.when(F.col("pos") % 7 == 0, F.array(F.lit("q10"))).otherwise(F.array(F.lit("PASS")))
+    reason = po.site_exclusion(F.col("ref"), F.array("alt"), filters, F.col("pos") % 11, 2, F.col("pos") >= 100)
+    return v.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@register("genotype_parse", "with g as (select c_custkey, (c_custkey % 3)::varchar || '/' || case when c_custkey % 5 = 0 then '.' else (c_nationkey % 3)::varchar end as gt from customer) select c_custkey, split_part(gt, '/', 1)::int as a, coalesce(try_cast(split_part(gt, '/', 2) as int), -1) as b from g")
+def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    text = F.concat((F.col("c_custkey") % 3).cast("string"), F.lit("/"), F.when(F.col("c_custkey") % 5 == 0, ".").otherwise((F.col("c_nationkey") % 3).cast("string")))
+    g = po.genotype(text)
+    return c.select("c_custkey", F.element_at(g, 1).alias("a"), F.coalesce(F.element_at(g, 2), F.lit(-1)).alias("b"))
+
+
+@register("diversity_per_site", "with c as (select l_partkey, l_returnflag, count(*) as c from lineitem group by 1, 2), g as (select l_partkey, sum(c) as n, count(*) as k, sum(c * (c - 1)) as s from c group by 1) select l_partkey, n::bigint as called, k as alleles, case when n >= 2 then round(1 - s / (n * (n - 1))::double, 9) end as diversity from g")
+def site_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return po.site_diversity(read(spark, sf_dir, "lineitem"), ["l_partkey"], "l_returnflag").withColumn("diversity", F.round("diversity", 9))
+
+
+@register(
+    "diversity_with_denominator",
+    f"""with i as ({t.INTERVALS}), m as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_linenumber = 7)),
+c as (select l_suppkey as contig, l_partkey as pos, l_returnflag, count(*) as c from lineitem group by 1, 2, 3), g as (select contig, pos, sum(c) as n, sum(c * (c - 1)) as s from c group by 1, 2),
+d as (select contig, pos, 1 - s / (n * (n - 1))::double as d from g where n >= 2), den as (select contig, pos // 500 as block, count(*) as den from m group by 1, 2),
+num as (select contig, pos // 500 as block, sum(d) as num from d join m using (contig, pos) group by 1, 2)
+select contig, block, round(coalesce(num, 0), 9) as num, den, round(coalesce(num, 0) / den, 9) as diversity from den left join num using (contig, block)""",
+)
+def denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), "l_returnflag")
+    sites = po.site_diversity(li, ["contig", "pos"], "l_returnflag")
+    mask = iv.merge(t.intervals(spark, sf_dir).where("l_linenumber = 7"))
+    out = po.diversity_with_denominator(sites, mask, 500)
+    return out.select("contig", "block", F.round("num", 9).alias("num"), "den", F.round("diversity", 9).alias("diversity"))
+
+
+@register("diversity_heterozygosity", "with g as (select l_suppkey, sum(case when l_returnflag = 'R' then 1 end) as snvs, sum(l_quantity)::bigint as bases from lineitem group by 1) select l_suppkey, snvs::bigint as snvs, bases, round(snvs / bases::double, 9) as rate, 'ok' as status from g")
+def heterozygosity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", F.when(F.col("l_returnflag") == "R", 1).alias("snvs"), F.col("l_quantity").cast("long").alias("bases"))
+    return po.heterozygosity(li, ["l_suppkey"]).withColumn("rate", F.round("rate", 9))
+
+
+@register("diversity_strength_ratio", """with x as (select l_returnflag, case when l_partkey % 4 in (0, 3) then 'W' else 'S' end as k, l_tax as v, l_quantity as b from lineitem),
+g as (select l_returnflag, sum(v) filter (where k = 'S') as sn, sum(b) filter (where k = 'S') as sd, sum(v) filter (where k = 'W') as wn, sum(b) filter (where k = 'W') as wd from x group by 1)
+select l_returnflag, round((sn / sd) / (wn / wd), 9) as ratio from g""")
+def strength_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    li = read(spark, sf_dir, "lineitem").withColumn("ref", ref)
+    return po.strength_ratio(li, ["l_returnflag"], "ref", "l_tax", "l_quantity").select("l_returnflag", F.round("ratio", 9).alias("ratio"))
+
+
+@register("variant_site_sets", """with a as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linenumber = 1), b as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linenumber = 2),
+n as (select (select count(*) from a semi join b using (c, p)) as both_, (select count(*) from a anti join b using (c, p)) as oa, (select count(*) from b anti join a using (c, p)) as ob)
+select both_ as "both", oa as only_a, ob as only_b, round(both_ / (both_ + oa + ob)::double, 9) as jaccard, round(both_ / (both_ + oa)::double, 9) as "precision", round(both_ / (both_ + ob)::double, 9) as recall from n""")
+def site_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    pick = lambda n: li.where(F.col("l_linenumber") == n).select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("p"))
+    out = po.site_sets(pick(1), pick(2), ["c", "p"])
+    return out.withColumns({c: F.round(c, 9) for c in ("jaccard", "precision", "recall")})
+
+
+_EVIDENCE = "e as (select l_orderkey, case when l_linenumber < 7 then l_quantity::bigint end as depth, (l_partkey % 40)::bigint as r, (l_suppkey % 30)::bigint as a from lineitem)"
+_CLASS = "case when depth is null then 'not_observed' when depth < 5 or depth > 45 then 'outside_depth_mask' when r >= 3 and a >= 3 and a / (r + a)::double between 0.2 and 0.8 then 'supported_heterozygous' when a <= 1 and r >= greatest(3, ceil(0.9 * depth)) then 'contradicted_homozygous_reference' else 'ambiguous' end"
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    e = li.select("l_orderkey", F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("long")).alias("depth"), (F.col("l_partkey") % 40).alias("n_ref"), (F.col("l_suppkey") % 30).alias("n_alt"))
+    return rd.classify_evidence(e, 5, 45)
+
+
+@register("reads_site_evidence", f"with {_EVIDENCE} select {_CLASS} as class, count(*) as n from e group by 1")
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@register("reads_evidence_summary", f"with {_EVIDENCE}, k as (select *, {_CLASS} as class from e), n as (select count(*) as sites, count(*) filter (where class = 'contradicted_homozygous_reference') as contradicted, count(*) filter (where class in ('ambiguous', 'outside_depth_mask', 'not_observed')) as unresolved from k) select sites, contradicted, unresolved, round(contradicted / sites::double, 9) as lower_bound, round((contradicted + unresolved) / sites::double, 9) as upper_bound from n")
+def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rd.evidence_summary(_evidence(spark, sf_dir))
+    return s.select("sites", "contradicted", "unresolved", F.round("lower_bound", 9).alias("lower_bound"), F.round("upper_bound", 9).alias("upper_bound"))
+
+
+@register("reads_kmer_qv", "with k as (select l_suppkey, count(*) filter (where l_returnflag = 'R')::double / count(*) as f from lineitem group by 1), e as (select l_suppkey, 1 - pow(1 - f, 1.0 / 21) as error from k) select l_suppkey, round(error, 9) as error, round(case when error > 0 then -10 * log10(error) end, 6) as qv from e")
+def kmer_qv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("x"), F.count("*").alias("n"))
+    error, qv = rd.kmer_qv(F.col("x"), F.col("n"), 21)
+    return k.select("l_suppkey", F.round(error, 9).alias("error"), F.round(qv, 6).alias("qv"))
+
+
+@register("reads_pileup_counts")
+def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("^~.,"), F.repeat(F.lit("A"), (F.col("l_linenumber") % 4).cast("int")), F.lit("+2AC"), F.lit("g$*"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rd.pileup_counts(made, F.lit("C"), F.lit("A")).alias("c"))
+    return rows.groupBy("l_linenumber").agg(*[F.sum(f"c.{n}").alias(n) for n in ("ref", "alt", "other", "deletion")])
+
+
+_TRAJECTORY = "x as (select l_partkey % 64 as interval, avg(l_quantity) / 50 as time, avg(l_extendedprice) / 1e4 as lam, 0.05 as theta from lineitem group by 1)"
+
+
+def _trajectory(spark: SparkSession, sf_dir: str, line: Column | None = None) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    li = li if line is None else li.where(line)
+    return li.groupBy((F.col("l_partkey") % 64).alias("interval")).agg((F.avg("l_quantity") / 50).alias("time"), (F.avg("l_extendedprice") / 1e4).alias("lambda")).withColumn("theta", F.lit(0.05))
+
+
+@register("psmc_scaled_scenarios", f"with {_TRAJECTORY}, g as (select unnest([1e-9, 2e-9]) as mu), h as (select unnest([2.0, 10.0]) as generation) select interval, mu, generation, round(2 * theta / (4 * mu * 100) * time * generation, 3) as years, round(lam * theta / (4 * mu * 100), 3) as size from x, g, h")
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rd.scaled_trajectory(_trajectory(spark, sf_dir), [(m, g) for m in (1e-9, 2e-9) for g in (2.0, 10.0)])
+    return out.select("interval", "mu", "generation", F.round("years", 3).alias("years"), F.round("size", 3).alias("size"))
+
+
+@register("psmc_compare", "with a as (select l_partkey % 64 as i, avg(l_quantity) / 50 as t, avg(l_extendedprice) / 1e4 as l from lineitem where l_linenumber < 4 group by 1), b as (select l_partkey % 64 as i, avg(l_quantity) / 50 as t, avg(l_extendedprice) / 1e4 as l from lineitem where l_linenumber >= 4 group by 1) select round(corr(a.l, b.l), 6) as lambda_corr, round(corr(a.t, b.t), 6) as time_corr, round(sqrt(avg((ln(a.l) - ln(b.l)) ** 2)), 6) as log_rmse, 1.0::double as theta_ratio from a join b using (i)")
+def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rd.compare_trajectories(_trajectory(spark, sf_dir, F.col("l_linenumber") < 4), _trajectory(spark, sf_dir, F.col("l_linenumber") >= 4))
+    return out.withColumns({c: F.round(c, 6) for c in ("lambda_corr", "time_corr", "log_rmse")})
+
+
+@register("annotation_partition_summary", f"""with i as ({t.INTERVALS}), part as (select distinct l_returnflag as name, contig, pos from (select l_returnflag, contig, unnest(range(start, end_)) as pos from i where l_linenumber = 7) ),
+mask as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_linenumber = 6)), ok as (select name, contig, pos from part join mask using (contig, pos)),
+v as (select distinct l_suppkey as contig, l_partkey as pos, l_orderkey * 10 + l_linenumber as id from lineitem where l_linenumber = 5), bp as (select name, count(*) as bp from ok group by name), n as (select name, count(*) as n from ok join v using (contig, pos) group by name)
+select name, bp, coalesce(n, 0) as variants, round(coalesce(n, 0) / bp::double, 9) as rate from bp left join n using (name)""")
+def partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = t.intervals(spark, sf_dir)
+    parts = i.where("l_linenumber = 7").select(F.col("l_returnflag").alias("name"), "contig", "start", "end")
+    mask = iv.merge(i.where("l_linenumber = 6"))
+    v = i.where("l_linenumber = 5").select("contig", "start", (F.col("start") + 1).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("variant_id")).distinct()
+    return sq.partition_summary(parts, mask, v).withColumn("rate", F.round("rate", 9))
+
+
+@register("conversion_tracts", """select l_orderkey as event_id, count(*) as markers, count(*) filter (where l_partkey % 4 in (1, 2)) as strong, count(*) filter (where l_partkey % 4 in (0, 3)) as weak, 0::bigint as ambiguous, max(l_partkey) - min(l_partkey) + 1 as "inner", 99999::bigint as "outer" from lineitem group by 1""")
+def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    m = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("pos"), base.alias("base"), F.lit(0).cast("long").alias("low"), F.lit(100_000).cast("long").alias("high"))
+    return sq.tracts(m)
+
+
+@register("consensus_counts")
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = t.intervals(spark, sf_dir)
+    mask = i.where("l_returnflag = 'A'").select("contig", "start", "end")
+    v = _variants(spark, sf_dir)
+    return sq.consensus_counts(mask, v.where(F.length("alt") == 1).select("contig", "pos"), v.where((F.length("alt") > 1) & (F.col("id") % 10 == 7)).select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+
+
+@register("reads_spectrum_heterozygosity")
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = read(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("value") / 5).cast("long").alias("depth")).agg(F.count("*").alias("count"))
+    return rd.spectrum_heterozygosity(h, 21, ["event_type"])
