@@ -38,7 +38,7 @@ def qualifies(columns: dict[str, Column]) -> Column:
 
 def multi(c: Column, pattern: str = r"[;,|]") -> Column:
     """The non-blank parts of a cell, trimmed."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def multi_count(c: Column, sep: str = ";") -> Column:
@@ -72,7 +72,7 @@ def https(c: Column) -> Column:
 
 def attributes(c: Column) -> Column:
     """Map of 'k=v;' or 'k "v";' attributes, URL-decoded; a part that is neither is an error."""
-    parts = F.filter(F.transform(F.split(c, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda p: p != "")
     key = lambda p: F.when(p.contains("="), F.substring_index(p, "=", 1)).otherwise(F.substring_index(p, " ", 1))
     value = lambda p: F.when(p.contains("="), F.url_decode(F.substring(p, F.locate("=", p) + 1, F.length(p)))).otherwise(F.regexp_extract(p, r'"([^"]*)"', 1))
     bad = F.exists(parts, lambda p: ~p.contains("=") & ~p.rlike(r'^\S+ "[^"]*"$'))

@@ -34,16 +34,19 @@ def codon_table(spark) -> DataFrame:
 
 def codons(df: DataFrame, seq: str) -> DataFrame:
     """df with a row per codon: codon_index from 0 and codon; a last part of a codon is left out."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    return df.withColumn("codon_index", F.explode(at)).withColumn("codon", F.substring(F.col(seq), F.col("codon_index") * 3 + 1, F.lit(3)))
+    return df.select("*", F.posexplode(triplets(F.col(seq))).alias("codon_index", "codon"))
+
+
+def triplets(seq: Column) -> Column:
+    """The whole codons of a sequence, in one pass."""
+    return F.regexp_extract_all(seq, F.lit("(?s)..."), F.lit(0))
 
 
 def translate(seq: str | Column) -> Column:
     """Protein of a coding sequence; a codon that is not of the table is an error, a terminal stop is trimmed."""
     c = seq if isinstance(seq, Column) else F.col(seq)
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
-    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(c) / 3).cast("int") - 1), lambda i: F.substring(c, i * 3 + 1, F.lit(3)))
+    parts = triplets(c)
     letters = F.transform(parts, lambda x: F.coalesce(F.element_at(table, x), F.raise_error(F.concat(F.lit("bad codon "), x)).cast("string")))
     return F.when(F.length(c) >= 3, F.regexp_replace(F.array_join(letters, ""), r"\*$", "")).otherwise("")
 
@@ -53,7 +56,7 @@ def translation_state(seq: str | Column) -> Column:
     c = seq if isinstance(seq, Column) else F.col(seq)
     stops = [k for k, a in CODONS.items() if a == "*"]
     inner = F.substring(c, F.lit(1), F.length(c) - 3)
-    inner_codons = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.length(inner) / 3).cast("int") - 1)), lambda i: F.substring(inner, i * 3 + 1, F.lit(3)))
+    inner_codons = triplets(inner)
     return F.when((F.length(c) == 0) | (F.length(c) % 3 != 0), "length").when(~c.rlike("^[ACGT]*$"), "symbol").when(F.exists(inner_codons, lambda x: x.isin(stops)), "internal_stop").otherwise("ok")
 
 
@@ -71,7 +74,7 @@ def gc_content(df: DataFrame, seq: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def gc3(df: DataFrame, seq: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, gc3_gc, gc3_sites, gc3): third positions pooled over coding sequences."""
-    third = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(seq) / 3).cast("int") - 1), lambda i: F.substring(F.col(seq), i * 3 + 3, F.lit(1))), "")
+    third = F.regexp_replace(F.substring(F.col(seq), F.lit(1), F.floor(F.length(seq) / 3).cast("int") * 3), "(?s)..(.)", "$1")
     ready = df.where(F.length(seq) >= 3).withColumn("_third", third)
     return gc_content(ready, "_third", keys).withColumnsRenamed({"gc": "gc3_gc", "acgt": "gc3_sites", "gc_fraction": "gc3"})
 

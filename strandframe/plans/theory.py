@@ -1 +1,39 @@
-"""Queries: theory."""
+"""Queries of the closed forms, on a grid of the parts table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.functions import theory as th
+from strandframe.plans._tables import read
+from strandframe.plans.registry import register
+
+_GRID = "g as (select p_partkey, (p_partkey % 99 + 1) / 100.0::double as f, p_size::double as n, (p_partkey % 7 + 1) / 1000.0::double as mu, (p_partkey % 13 + 1) / 100.0::double as u, (p_partkey % 5 + 1) / 10.0::double as d from part)"
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", ((k % 99 + 1) / 100.0).alias("f"), F.col("p_size").cast("double").alias("n"), ((k % 7 + 1) / 1000.0).alias("mu"), ((k % 13 + 1) / 100.0).alias("u"), ((k % 5 + 1) / 10.0).alias("d"))
+
+
+_F, _N, _MU, _U, _D = (F.col(c) for c in ("f", "n", "mu", "u", "d"))
+_FORMS = {
+    "theory_heterozygosity": {"h": (th.heterozygosity(_F), "2 * f * (1 - f)"), "theta": (th.theta(_N, _MU), "4 * n * mu"), "pi": (th.pairwise_pi(_MU, _N), "2 * mu * (2 * n)"), "drift": (th.drift_variance(_F), "f * (1 - f)")},
+    "theory_observable_fraction": {"observable": (th.observable_fraction(_F, _N), "1 - pow(1 - f, n)"), "silent": (th.silent_fraction(_F, _N), "pow(1 - f, n)")},
+    "theory_conversion_balance": {"loss": (th.loss(_U, _N, _F), "u * n * f * f"), "input": (th.mutation_input(_MU, _F), "mu * f"), "equilibrium": (th.equilibrium(_MU, _U, _N), "mu / (u * n)"), "at_change": (th.at_change(_F, _MU, _U, _D), "(1 - f) * (mu - u * d * f)"), "at_equilibrium": (th.at_equilibrium(_MU, _U, _D), "mu / (u * d)")},
+    "theory_selection": {"scaled": (th.scaled_selection(_N, _U), "4 * n * u"), "reduction": (th.reduction(_N * _MU), "exp(-(n * mu))"), "load": (th.background_load(_U, _D), "u / d"), "bias": (th.bias_strength(_D), "d - 0.5"), "conversion": (th.conversion_rate(_U, _D), "u * d"), "scaled_conversion": (th.scaled_conversion(_N, _U, _D), "4 * n * u * d")},
+    "theory_saturation": {"effective": (th.effective_rate(_U, _D, _F), "u * d * 2 * f * (1 - f)"), "strong": (th.strong_diversity(_MU, _U, _D), "2 * mu / (u * d)"), "weak": (th.weak_diversity(_N, _MU), "4 * n * mu"), "crossover": (th.crossover_size(_U, _D), "1 / (2 * u * d)")},
+    "theory_repeats": {"rate": (th.repeat_rate(_N, _U), "1 / (2 * n) + u"), "time": (th.repeat_time(th.repeat_rate(_N, _U)), "1 / (1 / (2 * n) + u)"), "diversity": (th.repeat_diversity(_MU, th.repeat_rate(_N, _U)), "2 * mu / (1 / (2 * n) + u)"), "mix": (th.genome_mix(_F, _MU, _U), "(1 - f) * mu + f * u"), "distortion": (th.distortion(_D), "2 * d - 1"), "undistorted": (th.undistorted(_D), "1 - 2 * d"), "converts": (th.converts(_F, _D).cast("double"), "(f <= d)::int::double")},
+}
+
+
+def _query(forms: dict):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _grid(spark, sf_dir).select("p_partkey", *[(F.round(c, 9) + 0.0).alias(n) for n, (c, _) in forms.items()])
+
+    return run
+
+
+for _name, _forms in _FORMS.items():
+    register(_name, f"with {_GRID} select p_partkey, " + ", ".join(f'round({sql}, 9) + 0.0 as "{n}"' for n, (_, sql) in _forms.items()) + " from g")(_query(_forms))
