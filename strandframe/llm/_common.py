@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one call of a batch function gets at most (a longer text comes alone).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -81,30 +81,15 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph: (node, root), root the smallest node reachable.
+_owner: list[tuple[str, Callable[[], None]]] = []
 
-    Alternates large-star and small-star steps, each a group-by with a map-side partial minimum, until the
-    edge set is a forest of stars. Every round is checkpointed; only two counts reach the driver.
-    Null ends are dropped; nodes without an edge do not appear.
+
+def claim(name: str, forget: Callable[[], None]) -> None:
+    """Say whose memo this worker process holds: when another operator's batch comes, the one before forgets its own.
+
+    Workers outlive stages, so without this the memos of all operators of a session would add up.
     """
-    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    now = cut(one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour is tied to the smallest of the neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: the smaller neighbours, and the node itself, are tied to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u")
-        small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(seen):
-            break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    if _owner and _owner[0][0] != name:
+        _owner.pop()[1]()
+    if not _owner:
+        _owner.append((name, forget))

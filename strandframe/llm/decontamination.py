@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, map_batches, ship, slices
+from strandframe.llm._common import bytes_of, claim, ship, slices
 
 #: Tokens in a window; the least share of an item's tokens that consistent windows of a document must cover; windows
 #: of the benchmark that are sent to every executor at most (beyond that the windows are joined by a shuffle).
@@ -55,15 +55,18 @@ class Vocabulary(dict):
         self.fresh.append((xxhash.xxh64_intdigest(low), (0 if low else BLANK) | (MAY_UNIT if low in UNITS else 0) | (IS_NUM if low == NUM else 0) | (ENDS if raw.rstrip(b"\"')]}*#$%&|")[-1:] in _ENDINGS else 0)))
         return self._put(raw, low)
 
+    def forget(self) -> None:
+        self.clear()
+        self.__init__()
+
     def _put(self, raw: bytes, token: bytes) -> int:
         n = self[raw] = len(self.tokens)
         self.tokens.append(token)
         return n
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 400_000:
-            self.clear()
-            self.__init__()
+        if len(self) > 200_000:
+            self.forget()
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
             self.hashes = np.concatenate([self.hashes, np.array([h for h, _ in self.fresh], np.uint64)])
@@ -210,6 +213,7 @@ def matches(data: bytes, items: Items) -> list[tuple[int, int, int, float, bool]
 
 def batch_matches(texts: list[bytes], items: Items) -> dict[int, list[tuple[int, int, int, float, bool]]]:
     """Matches by position in the batch. One pass over all windows of the batch finds the texts worth a closer look."""
+    claim("decontamination", VOCABULARY.forget)
     split = [t.split() for t in texts]
     starts = np.cumsum([0, *map(len, split)])[:-1]
     at, masked, plain, _ = templated([w for words in split for w in words], starts)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import cut, ship
+from strandframe.llm._common import claim, cut, ship
 
 #: Longest n-gram; factor of each step back; bytes of text in a block; fewest blocks; parts of the hash range.
 ORDER, ALPHA, BLOCK_BYTES, MIN_BLOCKS, PART_BLOCKS = 2, 0.4, 16 << 20, 24, 1
@@ -33,7 +33,7 @@ BEGIN = np.uint64(0x5BD1E995)
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h
         return h
@@ -55,6 +55,7 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, list[np.n
     A text begins with a mark that stands for the words before it; the mark itself is an n-gram of length 1 that no
     word position has, so it is returned as the entry before each text's first word.
     """
+    claim("lm_scoring", _hashes.cache_clear)
     split = [t.translate(_LOWER).split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     flat = np.fromiter(map(_hashes().__getitem__, (w for words in split for w in words)), np.uint64, int(counts.sum()))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, map_batches
+from strandframe.llm._common import bytes_of, claim, map_batches
 
 #: Fixed values. Characters per token (low, high), highest share of byte-fallback tokens, lowest entropy in bits of
 #: a text of MIN_TOKENS tokens or more; by language, then by script. Wide on purpose: ordinary prose of a language
@@ -33,7 +33,7 @@ BANDS = {
     "Han": (0.3, 3.0, 0.9, 4.0),
     "other": (0.2, 8.0, 1.0, 3.0),
 }
-MIN_TOKENS, KEPT_WORDS = 100, 400_000
+MIN_TOKENS, KEPT_WORDS = 100, 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Code points of scripts, first to last.
@@ -148,6 +148,7 @@ def measures(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> D
         raise ValueError(f"columns in the way: {sorted(taken)}")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("quality", pieces.cache_clear)
         found = measures_of(bytes_of(batch, text_col), pieces(vocabulary_path))
         kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.string()]
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds))], [*batch.schema.names, *names])

@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, components, cut, map_batches, ship
+from strandframe.llm._common import bytes_of, cut, map_batches, ship
+from strandframe.operators.graph import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fingerprints that the upper tree is grown from, at most; fingerprints a shard should hold; of a leaf.
@@ -32,12 +33,12 @@ SAMPLE, PER_SHARD, LEAF = 8192, 16_384, 384
 class Signature:
     """What is hashed and what links.
 
-    Each part is (words in a shingle, whether each shingle counts once, 64-bit words); the parts' hashes stand one
-    after the other. The first part is searched: at most max_bits differ, by `blocks` blocks. The second, if any,
-    must also agree to `max_more` bits.
+    Each part is (words in a shingle, whether each shingle counts once, 64-bit words, least bytes of a shingle, which
+    do not matter if no shingle has them); the parts' hashes stand one after the other. The first part is searched: at
+    most max_bits differ, by `blocks` blocks. The second, if any, must also agree to `max_more` bits.
     """
 
-    parts: tuple[tuple[int, bool, int], ...] = ((4, False, 1),)
+    parts: tuple[tuple[int, bool, int, int], ...] = ((4, False, 1, 0),)
     max_bits: int = 4
     blocks: int = 3
     max_more: int = 0
@@ -53,9 +54,10 @@ class Signature:
 
 #: Four-word shingles with repeats, 64 bits, links at 4.
 FINGERPRINT = Signature()
-#: Near copies of similarity 0.8 or more on five-word shingles: sets of words in 128 bits find candidates (copies of
-#: that similarity differ in up to 17, others in 40 or more), 256 bits over five-word shingles decide (up to 46).
-NEAR_COPIES = Signature(((1, True, 2), (5, True, 4)), 17, 9, 46)
+#: Near copies of similarity 0.8 or more on five-word shingles: sets of longer words in 128 bits find candidates
+#: (copies of that similarity differ in up to 17, others in 40 or more; short words are those that all texts of a
+#: language share, and would crowd the shards), 256 bits over five-word shingles decide (up to 46).
+NEAR_COPIES = Signature(((1, True, 2, 6), (5, True, 4, 0)), 17, 9, 46)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,13 +82,24 @@ def fold(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of what has these hashes: the first is the hash itself."""
+    if not k:
+        return hashes
+    h = (hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0x94D049BB133111EB)
+
+
 def signature(text: bytes, kind: Signature) -> bytes:
     words, out = words_of(text), []
-    for k, once, n in kind.parts:
+    for k, once, n, least in kind.parts:
         pieces = shingles(words, k)
         pieces = list(set(pieces)) if once else pieces
-        for seed in range(42, 42 + n):
-            out.append(fold(np.array([xxhash.xxh64_intdigest(p, seed) for p in pieces], np.uint64)) if pieces else 0)
+        if least:
+            pieces = [p for p in pieces if len(p) >= least] or pieces
+        hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in pieces), np.uint64, len(pieces))
+        out += [fold(mixed(hashes, i)) if pieces else 0 for i in range(n)]
     return b"".join(x.to_bytes(8, "big") for x in out)
 
 
@@ -182,14 +195,20 @@ def linked(rows: np.ndarray, kind: Signature, point: np.ndarray) -> np.ndarray:
 def forest(rows: np.ndarray, at: np.ndarray, kind: Signature) -> list[tuple[int, int]]:
     """Spanning links among rows[at]: a search that compares each reached row with the rows not reached yet."""
     own, n, live = rows[at], len(at), np.zeros(len(at), bool)
+    lead = np.ascontiguousarray(own[:, 0])  # the first word alone rules out nearly all pairs
     for i in range(0, n, 128):  # rows without a link drop out first
-        live[i : i + 128] = linked(own[None], kind, own[i : i + 128, None]).sum(1) > 1
+        a, b = np.nonzero(np.bitwise_count(lead[None] ^ lead[i : i + 128, None]) <= kind.max_bits)
+        a, b = a[a + i < b] + i, b[a + i < b]
+        for j in range(0, len(a), 1 << 16):
+            ok = linked(own[a[j : j + (1 << 16)]], kind, own[b[j : j + (1 << 16)]])
+            live[a[j : j + (1 << 16)][ok]] = live[b[j : j + (1 << 16)][ok]] = True
     left, out = np.flatnonzero(live), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             point = queue.pop()
-            hit = linked(own[left], kind, own[point])
+            hit = np.bitwise_count(lead[left] ^ lead[point]) <= kind.max_bits
+            hit[hit] = linked(own[left[hit]], kind, own[point])
             found, left = left[hit], left[~hit]
             out += [(int(at[point]), int(at[f])) for f in found]
             queue += found.tolist()
@@ -257,10 +276,10 @@ def classes(docs: DataFrame, kind: Signature = FINGERPRINT, id_col: str = "doc_i
     """
     sigs = cut(signatures(docs, kind, id_col, text_col))
     distinct = sigs.groupBy("sig").agg(F.min("id").alias("first"))
-    roots = components(links(distinct, kind))
+    roots = connected_components(links(distinct, kind), "a", "b")
     placed = distinct.join(roots, distinct["sig"] == roots["node"], "left").select(distinct["sig"], "first", F.coalesce("root", distinct["sig"]).alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = placed.join(named, "root").select("sig", "component_id")
+    names = cut(placed.join(named, "root").select("sig", "component_id"))
     return sigs.join(names, "sig").select(F.col("id").alias(id_col), "sig", "component_id")
 
 

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import map_batches, texts_of
+from strandframe.llm._common import claim, map_batches, texts_of
 
 CHUNK = 512
-KEPT_WORDS, KEPT_STATES, KEPT_LENGTH = 400_000, 300_000, 48
+KEPT_WORDS, KEPT_STATES, KEPT_LENGTH = 300_000, 250_000, 48
 
 # Classes of characters.
 END, SPACE, WHITE, LETTER, NUMBER, OTHER, APOSTROPHE, LOW_L, LOW_V, LOW_R, LOW_E, LOW_STMD = range(12)
@@ -329,6 +329,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     schema = docs.select(F.col(id_col)).schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("token_counts", counter.cache_clear)
         texts = texts_of(batch)
         counts = counter(tokenizer_path).batch(texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])

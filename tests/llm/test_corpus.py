@@ -57,7 +57,7 @@ def test_simhash_classes(docs, rows, none):
 @pytest.mark.parametrize("kind", [simhash.FINGERPRINT, simhash.NEAR_COPIES])
 def test_vantage_point_shards_lose_no_link(spark, kind):
     rng = random.Random(4)
-    size = sum(n for *_, n in kind.parts) * 64
+    size = sum(p[2] for p in kind.parts) * 64
     base = [rng.getrandbits(size) for _ in range(500)]
     close = [b ^ sum(1 << x for x in rng.sample(range(size), rng.randrange(1, kind.max_bits + 3))) for b in base[:300]]
     dense = [base[0] ^ 1 << rng.randrange(size) ^ 1 << rng.randrange(size) for _ in range(700)]
