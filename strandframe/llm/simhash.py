@@ -56,8 +56,8 @@ class Signature:
 FINGERPRINT = Signature()
 #: Near copies of similarity 0.8 or more on five-word shingles: sets of longer words in 128 bits find candidates
 #: (copies of that similarity differ in up to 17, others in 40 or more; short words are those that all texts of a
-#: language share, and would crowd the shards), 256 bits over five-word shingles decide (up to 46).
-NEAR_COPIES = Signature(((1, True, 2, 6), (5, True, 4, 0)), 17, 9, 46)
+#: language share, and would crowd the shards), 256 bits over five-word shingles decide (up to 50).
+NEAR_COPIES = Signature(((1, True, 2, 6), (5, True, 4, 0)), 17, 9, 50)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -86,7 +86,7 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th hash of what has these hashes: the first is the hash itself."""
     if not k:
         return hashes
-    h = (hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h * np.uint64(0x94D049BB133111EB)
 
