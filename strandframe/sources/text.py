@@ -77,7 +77,9 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     f = lines(spark, path)
     tail = f.where(F.col("text").startswith("##FASTA")).agg(F.min("line").alias("_tail"))
     body = f.crossJoin(F.broadcast(tail)).where("_tail is null or line < _tail").where(~F.col("text").startswith("#"))  # one row
-    parts = body.withColumn("_f", F.split("text", "\t")).withColumn("_f", F.when(F.size("_f") == 9, F.col("_f")).otherwise(_fail("not nine columns: ", F.col("text"))))
+    # The check names _tail, so that it is not tried on lines of the tail before they are gone.
+    inside = F.coalesce(F.col("line") < F.col("_tail"), F.lit(True))
+    parts = body.withColumn("_f", F.split("text", "\t")).withColumn("_f", F.when(~inside, F.lit(None)).when(F.size("_f") == 9, F.col("_f")).otherwise(_fail("not nine columns: ", F.col("text"))))
     at = lambda i: F.get("_f", F.lit(i))
     start, end = whole(at(3), "start") - 1, whole(at(4), "end")
     return parts.select("line", at(0).alias("contig"), at(1).alias("source"), at(2).alias("type"), F.when((start >= 0) & (start < end), start).otherwise(_fail("bad coordinates: ", F.col("text"))).alias("start"), end.alias("end"), at(5).alias("score"), F.when(at(6).isin("+", "-", ".", "?"), at(6)).otherwise(_fail("bad strand: ", F.col("text"))).alias("strand"), F.when(at(7) == ".", F.lit(None)).otherwise(at(7).try_cast("int")).alias("phase"), sc.attributes(at(8)).alias("attributes"))

@@ -128,7 +128,8 @@ def test_fourfold_sites(spark):
     assert sq.coding_sequences(rev, table, 4).first().cds == "AAGCCATGG"
     assert {r.pos: r.cds_index for r in sq.coding_positions(rev).collect()}[8] == 0
     assert sq.phase_chain(cds).first().reason == "ok"
-    assert sq.phase_chain(cds.withColumn("phase", F.lit(1))).first().reason == "phase"
+    assert sq.phase_chain(cds.withColumn("phase", F.lit(1))).first().reason == "length"
+    assert sq.phase_chain(cds.withColumn("phase", F.when(F.col("start") == 5, 1).otherwise(0))).first().reason == "phase"
     with pytest.raises(PySparkException):
         sq.ordered_segments(cds.unionByName(cds)).collect()
 
