@@ -219,7 +219,7 @@ def _trajectory(spark: SparkSession, sf_dir: str, line: Column | None = None) ->
     return li.groupBy((F.col("l_partkey") % 64).alias("interval")).agg((F.avg("l_quantity") / 50).alias("time"), (F.avg("l_extendedprice") / 1e4).alias("lambda")).withColumn("theta", F.lit(0.05))
 
 
-@register("psmc_scaled_scenarios", f"with {_TRAJECTORY}, g as (select unnest([1e-9, 2e-9]) as mu), h as (select unnest([2.0, 10.0]) as generation) select interval, mu, generation, round(2 * theta / (4 * mu * 100) * time * generation, 3) as years, round(lam * theta / (4 * mu * 100), 3) as size from x, g, h")
+@register("psmc_scaled_scenarios", f"with {_TRAJECTORY}, g as (select unnest([1e-9::double, 2e-9::double]) as mu), h as (select unnest([2.0::double, 10.0::double]) as generation) select interval, mu, generation, round(2 * theta / (4 * mu * 100) * time * generation, 3) as years, round(lam * theta / (4 * mu * 100), 3) as size from x, g, h")
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rd.scaled_trajectory(_trajectory(spark, sf_dir), [(m, g) for m in (1e-9, 2e-9) for g in (2.0, 10.0)])
     return out.select("interval", "mu", "generation", F.round("years", 3).alias("years"), F.round("size", 3).alias("size"))

@@ -17,20 +17,20 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", ((k % 99 + 1) / 100.0).alias("f"), F.col("p_size").cast("double").alias("n"), ((k % 7 + 1) / 1000.0).alias("mu"), ((k % 13 + 1) / 100.0).alias("u"), ((k % 5 + 1) / 10.0).alias("d"))
 
 
-_F, _N, _MU, _U, _D = (F.col(c) for c in ("f", "n", "mu", "u", "d"))
 _FORMS = {
-    "theory_heterozygosity": {"h": (th.heterozygosity(_F), "2 * f * (1 - f)"), "theta": (th.theta(_N, _MU), "4 * n * mu"), "pi": (th.pairwise_pi(_MU, _N), "2 * mu * (2 * n)"), "drift": (th.drift_variance(_F), "f * (1 - f)")},
-    "theory_observable_fraction": {"observable": (th.observable_fraction(_F, _N), "1 - pow(1 - f, n)"), "silent": (th.silent_fraction(_F, _N), "pow(1 - f, n)")},
-    "theory_conversion_balance": {"loss": (th.loss(_U, _N, _F), "u * n * f * f"), "input": (th.mutation_input(_MU, _F), "mu * f"), "equilibrium": (th.equilibrium(_MU, _U, _N), "mu / (u * n)"), "at_change": (th.at_change(_F, _MU, _U, _D), "(1 - f) * (mu - u * d * f)"), "at_equilibrium": (th.at_equilibrium(_MU, _U, _D), "mu / (u * d)")},
-    "theory_selection": {"scaled": (th.scaled_selection(_N, _U), "4 * n * u"), "reduction": (th.reduction(_N * _MU), "exp(-(n * mu))"), "load": (th.background_load(_U, _D), "u / d"), "bias": (th.bias_strength(_D), "d - 0.5"), "conversion": (th.conversion_rate(_U, _D), "u * d"), "scaled_conversion": (th.scaled_conversion(_N, _U, _D), "4 * n * u * d")},
-    "theory_saturation": {"effective": (th.effective_rate(_U, _D, _F), "u * d * 2 * f * (1 - f)"), "strong": (th.strong_diversity(_MU, _U, _D), "2 * mu / (u * d)"), "weak": (th.weak_diversity(_N, _MU), "4 * n * mu"), "crossover": (th.crossover_size(_U, _D), "1 / (2 * u * d)")},
-    "theory_repeats": {"rate": (th.repeat_rate(_N, _U), "1 / (2 * n) + u"), "time": (th.repeat_time(th.repeat_rate(_N, _U)), "1 / (1 / (2 * n) + u)"), "diversity": (th.repeat_diversity(_MU, th.repeat_rate(_N, _U)), "2 * mu / (1 / (2 * n) + u)"), "mix": (th.genome_mix(_F, _MU, _U), "(1 - f) * mu + f * u"), "distortion": (th.distortion(_D), "2 * d - 1"), "undistorted": (th.undistorted(_D), "1 - 2 * d"), "converts": (th.converts(_F, _D).cast("double"), "(f <= d)::int::double")},
+    "theory_heterozygosity": {"h": (lambda f, n, mu, u, d: th.heterozygosity(f), "2 * f * (1 - f)"), "theta": (lambda f, n, mu, u, d: th.theta(n, mu), "4 * n * mu"), "pi": (lambda f, n, mu, u, d: th.pairwise_pi(mu, n), "2 * mu * (2 * n)"), "drift": (lambda f, n, mu, u, d: th.drift_variance(f), "f * (1 - f)")},
+    "theory_observable_fraction": {"observable": (lambda f, n, mu, u, d: th.observable_fraction(f, n), "1 - pow(1 - f, n)"), "silent": (lambda f, n, mu, u, d: th.silent_fraction(f, n), "pow(1 - f, n)")},
+    "theory_conversion_balance": {"loss": (lambda f, n, mu, u, d: th.loss(u, n, f), "u * n * f * f"), "input": (lambda f, n, mu, u, d: th.mutation_input(mu, f), "mu * f"), "equilibrium": (lambda f, n, mu, u, d: th.equilibrium(mu, u, n), "mu / (u * n)"), "at_change": (lambda f, n, mu, u, d: th.at_change(f, mu, u, d), "(1 - f) * (mu - u * d * f)"), "at_equilibrium": (lambda f, n, mu, u, d: th.at_equilibrium(mu, u, d), "mu / (u * d)")},
+    "theory_selection": {"scaled": (lambda f, n, mu, u, d: th.scaled_selection(n, u), "4 * n * u"), "reduction": (lambda f, n, mu, u, d: th.reduction(n * mu), "exp(-(n * mu))"), "load": (lambda f, n, mu, u, d: th.background_load(u, d), "u / d"), "bias": (lambda f, n, mu, u, d: th.bias_strength(d), "d - 0.5"), "conversion": (lambda f, n, mu, u, d: th.conversion_rate(u, d), "u * d"), "scaled_conversion": (lambda f, n, mu, u, d: th.scaled_conversion(n, u, d), "4 * n * u * d")},
+    "theory_saturation": {"effective": (lambda f, n, mu, u, d: th.effective_rate(u, d, f), "u * d * 2 * f * (1 - f)"), "strong": (lambda f, n, mu, u, d: th.strong_diversity(mu, u, d), "2 * mu / (u * d)"), "weak": (lambda f, n, mu, u, d: th.weak_diversity(n, mu), "4 * n * mu"), "crossover": (lambda f, n, mu, u, d: th.crossover_size(u, d), "1 / (2 * u * d)")},
+    "theory_repeats": {"rate": (lambda f, n, mu, u, d: th.repeat_rate(n, u), "1 / (2 * n) + u"), "time": (lambda f, n, mu, u, d: th.repeat_time(th.repeat_rate(n, u)), "1 / (1 / (2 * n) + u)"), "diversity": (lambda f, n, mu, u, d: th.repeat_diversity(mu, th.repeat_rate(n, u)), "2 * mu / (1 / (2 * n) + u)"), "mix": (lambda f, n, mu, u, d: th.genome_mix(f, mu, u), "(1 - f) * mu + f * u"), "distortion": (lambda f, n, mu, u, d: th.distortion(d), "2 * d - 1"), "undistorted": (lambda f, n, mu, u, d: th.undistorted(d), "1 - 2 * d"), "converts": (lambda f, n, mu, u, d: th.converts(f, d).cast("double"), "(f <= d)::int::double")},
 }
 
 
 def _query(forms: dict):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _grid(spark, sf_dir).select("p_partkey", *[(F.round(c, 9) + 0.0).alias(n) for n, (c, _) in forms.items()])
+        columns = [F.col(c) for c in ("f", "n", "mu", "u", "d")]
+        return _grid(spark, sf_dir).select("p_partkey", *[(F.round(form(*columns), 9) + 0.0).alias(name) for name, (form, _) in forms.items()])
 
     return run
 
