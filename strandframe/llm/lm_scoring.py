@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandframe.llm._common import claim, cut, ship
 
 #: Longest n-gram; factor of each step back; bytes of text in a block; fewest blocks; parts of the hash range.
-ORDER, ALPHA, BLOCK_BYTES, MIN_BLOCKS, PART_BLOCKS = 2, 0.4, 16 << 20, 24, 1
+ORDER, ALPHA, BLOCK_BYTES, MIN_BLOCKS, PART_BLOCKS = 2, 0.4, 14 << 20, 24, 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: N-grams are told apart by 56 bits.
 _BITS = np.uint64((1 << 56) - 1)
@@ -203,3 +203,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     answered = answered.withColumn("all_words", F.lit(all_words).cast("long")).drop("words")
     done = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, f"id {of_id}, n_words long, log_score double, n_backoff long")
     return done.select(F.col("id").alias(id_col), "n_words", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"), "n_backoff")
+
+
+#: DuckDB's words for the query, for bigrams and the parameters above; scores rounded as the query rounds them.
+SCORES_SQL = r"""
+with w as (select row_number() over () as r, doc_id, list_concat(['<s> '], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) as v from documents),
+t as (select r, i, v[i] as x, case when i > 1 then v[i - 1] end as p from w, lateral (select unnest(range(1, len(v) + 1)) as i) g),
+u as (select x, count(*) as n from t group by x), uo as (select r, x, count(*) as n from t group by r, x),
+b as (select p, x, count(*) as n from t where i > 1 group by p, x), bo as (select r, p, x, count(*) as n from t where i > 1 group by r, p, x),
+a as (select sum(n)::double as n from u),
+s as (select t.r, b.n - bo.n as c2, up.n - uop.n as c0, ux.n - uox.n as c1, greatest(1, a.n - (len(w.v) - 1)) as rest
+  from t join w on w.r = t.r join b on b.p = t.p and b.x = t.x join bo on bo.r = t.r and bo.p = t.p and bo.x = t.x join u up on up.x = t.p join uo uop on uop.r = t.r and uop.x = t.p join u ux on ux.x = t.x join uo uox on uox.r = t.r and uox.x = t.x, a where t.i > 1),
+f as (select r, count(*) as n_words, sum(case when c2 > 0 then ln(c2 / c0::double) when c1 > 0 then ln(c1::double) - ln(rest) + ln(0.4) else 2 * ln(0.4) - ln(rest) end) as log_score, count(*) filter (where c2 <= 0) as n_backoff from s group by r)
+select w.doc_id, coalesce(n_words, 0)::bigint as n_words, round(log_score, 4) as log_score, round(log_score / n_words, 6) as mean_log_score, coalesce(n_backoff, 0)::bigint as n_backoff from w left join f on f.r = w.r
+"""

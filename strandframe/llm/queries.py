@@ -34,7 +34,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+    scored = lm_scoring.scores(table(spark, sf_dir, "documents"))
+    return scored.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_lm_scoring": lm_scoring.SCORES_SQL,
         "op7_source_mix": mixing.MIX_SQL.format(docs="documents", more=""),
         "op8_line_dedup": line_dedup.REPEATS_SQL,
     }
