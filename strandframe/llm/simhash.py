@@ -275,8 +275,13 @@ def classes(docs: DataFrame, kind: Signature = FINGERPRINT, id_col: str = "doc_i
     columns are ignored.
     """
     sigs = cut(signatures(docs, kind, id_col, text_col))
+    return in_classes(sigs, links(sigs.select("sig").distinct(), kind), id_col)
+
+
+def in_classes(sigs: DataFrame, linked_sigs: DataFrame, id_col: str) -> DataFrame:
+    """(id, sig, component_id) for every row (id, sig), by the components of the links (a, b)."""
     distinct = sigs.groupBy("sig").agg(F.min("id").alias("first"))
-    roots = connected_components(links(distinct, kind), "a", "b")
+    roots = connected_components(linked_sigs, "a", "b")
     placed = distinct.join(roots, distinct["sig"] == roots["node"], "left").select(distinct["sig"], "first", F.coalesce("root", distinct["sig"]).alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     names = cut(placed.join(named, "root").select("sig", "component_id"))
@@ -289,9 +294,13 @@ def keep_one(docs: DataFrame, kind: Signature = NEAR_COPIES, id_col: str = "doc_
     Rows that repeat an id count as one document: of the kept ones the first by text stays. Rows with a null id all
     stay, as nothing tells them apart.
     """
+    return without_copies(docs, classes(docs, kind, id_col, text_col), id_col, text_col)
+
+
+def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the ids that their class (id, component_id) has another name for, and one row of each id."""
     from pyspark.sql import Window
 
-    found = classes(docs, kind, id_col, text_col)
     gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     first = Window.partitionBy(id_col).orderBy(text_col)
