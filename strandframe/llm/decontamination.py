@@ -32,6 +32,14 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 NUM, UNIT, NAME = b"<num>", b"<unit>", b"<name>"
 
 
+def _capital(bare: bytes) -> bool:
+    """Whether a word begins with a capital of any alphabet and has other letters too."""
+    if bare[:1] < b"\x80":
+        return bare[:1].isupper() and not bare.isupper()
+    word = bare.decode("utf-8", "replace")
+    return word[:1].isupper() and not word.isupper()
+
+
 class Vocabulary(dict):
     """Raw words as numbers, with columns: template token, its hash, and what the word is."""
 
@@ -49,7 +57,7 @@ class Vocabulary(dict):
             low = NUM
         elif not wordy and (m := _NUMBER_UNIT.match(low)) and m[2] in UNITS:
             low = NUM + UNIT
-        elif bare[:1].isupper() and not bare.isupper():
+        elif _capital(bare):
             self.fresh.append((xxhash.xxh64_intdigest(low), MAY_NAME | (ENDS if raw.rstrip(b"\"')]}*#$%&|")[-1:] in _ENDINGS else 0)))
             return self._put(raw, low)
         self.fresh.append((xxhash.xxh64_intdigest(low), (0 if low else BLANK) | (MAY_UNIT if low in UNITS else 0) | (IS_NUM if low == NUM else 0) | (ENDS if raw.rstrip(b"\"')]}*#$%&|")[-1:] in _ENDINGS else 0)))
@@ -81,11 +89,12 @@ VOCABULARY = Vocabulary()
 _UNIT_HASH, _NAME_HASH = np.uint64(xxhash.xxh64_intdigest(UNIT)), np.uint64(xxhash.xxh64_intdigest(NAME))
 
 
-def templated(words: list[bytes], starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which words have a token, their hashes with names as placeholders, with names as words, what each became).
+def templated(words: list[bytes], starts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(which words have a token, their hashes in VARIANTS ways, what each became).
 
-    Words of several texts may stand one after the other; starts says where texts begin. A capital opens a name only
-    inside a sentence; a unit is one only after a number. Became: 0 as it is, 1 a name, 2 a unit.
+    Words of several texts may stand one after the other; starts says where texts begin. A capital inside a sentence
+    opens a name, one that opens a sentence may; a unit is one only after a number. Hashes: names inside sentences as
+    placeholders, all as words, and all capitals as placeholders. Became: 0 as it is, 1 a name, 2 a unit, 4 perhaps a name.
     """
     numbers = VOCABULARY.numbers(words)
     kinds = VOCABULARY.kinds[numbers]
@@ -93,9 +102,10 @@ def templated(words: list[bytes], starts: np.ndarray | None = None) -> tuple[np.
     opens[1:] = (kinds[:-1] & ENDS) > 0
     if starts is not None:
         opens[starts[starts < len(words)]] = True
-    named = ((kinds & MAY_NAME) > 0) & ~opens
+    capital = (kinds & MAY_NAME) > 0
+    named, perhaps = capital & ~opens, capital & opens
     at = np.flatnonzero((kinds & BLANK) == 0)
-    numbers, kinds, named = numbers[at], kinds[at], named[at]
+    numbers, kinds, named, perhaps = numbers[at], kinds[at], named[at], perhaps[at]
     plain = VOCABULARY.hashes[numbers]
     unit = (kinds & MAY_UNIT) > 0
     unit[1:] &= (kinds[:-1] & IS_NUM) > 0
@@ -103,7 +113,9 @@ def templated(words: list[bytes], starts: np.ndarray | None = None) -> tuple[np.
     plain[unit] = _UNIT_HASH
     masked = plain.copy()
     masked[named] = _NAME_HASH
-    return at, masked, plain, named.astype(np.uint8) + 2 * unit
+    opened = masked.copy()
+    opened[perhaps] = _NAME_HASH
+    return at, [masked, plain, opened], named.astype(np.uint8) + 2 * unit + 4 * perhaps
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,14 +133,15 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Text:
-    """A text's template tokens, its original words, and both kinds of hashes."""
+    """A text's template tokens, its original words, which may be names, and its hashes."""
 
     def __init__(self, data: bytes):
         words = data.split()
-        at, self.masked, self.plain, became = templated(words)
+        at, self.hashes, became = templated(words)
         self.raws = [words[i] for i in at.tolist()]
-        self.tokens = [(VOCABULARY.tokens[VOCABULARY[r]], NAME, UNIT)[k] for r, k in zip(self.raws, became.tolist(), strict=True)]
+        self.tokens = [(VOCABULARY.tokens[VOCABULARY[r]], NAME, UNIT)[k & 3] for r, k in zip(self.raws, became.tolist(), strict=True)]
         self.words = [_word(r) for r in self.raws]
+        self.names = ((became & 5) > 0).tolist()
 
 
 class Items:
@@ -141,8 +154,8 @@ class Items:
             if not text.tokens:
                 continue
             n = min(size, len(text.tokens))
-            self.items[i] = (text.tokens, [_value(t, r) for t, r in zip(text.tokens, text.raws, strict=True)], text.words, n)
-            for h in (text.masked, text.plain):
+            self.items[i] = (text.tokens, [_value(t, r) for t, r in zip(text.tokens, text.raws, strict=True)], text.words, text.names, n)
+            for h in text.hashes:
                 for at, key in enumerate(window_hashes(h, n).tolist()):
                     found.setdefault(n, {}).setdefault(key, set()).add((i, at))
         self.owners = found
@@ -175,37 +188,61 @@ def _same(a: bytes, b: bytes, raw_a: bytes, raw_b: bytes) -> bool:
 def matches(data: bytes, items: Items) -> list[tuple[int, int, int, float, bool]]:
     """(item, first token, tokens covered, share of the item, whether only slots differ) for each item met.
 
-    Windows that share a hash are verified and lengthened both ways by equal template tokens, as long as their
-    slots stay consistent; the share counts the item's tokens that such runs cover.
+    Windows that share a hash are verified and lengthened both ways by equal template tokens; words that may be names
+    are equal as long as one always stands for the same other one. A run whose slots are consistent counts whole; of
+    another one, what stands verbatim for a window or more counts. The share is that of the item's tokens covered.
     """
     text = Text(data)
-    tokens, words = text.tokens, text.words
+    tokens, words, names = text.tokens, text.words, text.names
     hits: dict[int, set[tuple[int, int]]] = {}
     for n, owners in items.owners.items():
-        for h in (text.masked, text.plain):
+        for h in text.hashes:
             for p, key in items.hits(h, n):
                 for i, q in owners[key]:
                     hits.setdefault(i, set()).add((p, q))
     out = []
     for i, found in hits.items():
-        theirs, values, their_words, n = items.items[i]
+        theirs, values, their_words, their_names, n = items.items[i]
         covered, first, changed, done = set(), len(tokens), False, set()
+
+        def lengthened(p: int, q: int, loose: bool) -> tuple[int, int, dict[bytes, bytes] | None] | None:
+            """(first, last + 1) of the run around a window, and what its slots stand for, none if inconsistent."""
+            slots: dict[bytes, bytes] = {}
+
+            def alike(k: int) -> bool:
+                if not (0 <= p + k < len(tokens) and 0 <= q + k < len(theirs)):
+                    return False
+                if _same(tokens[p + k], theirs[q + k], words[p + k], their_words[q + k]):
+                    return True
+                return loose and names[p + k] and their_names[q + k] and slots.setdefault(their_words[q + k], words[p + k]) == words[p + k]
+
+            if not all(alike(k) for k in range(n)):
+                return None
+            a, b = 0, n
+            while alike(a - 1):
+                a -= 1
+            while alike(b):
+                b += 1
+            fits = all(slots.setdefault(values[q + k], words[p + k]) == words[p + k] for k in range(a, b) if values[q + k])
+            return a, b, slots if fits else None
+
         for p, q in sorted(found):
             if (p, q) in done:
                 continue
-            if not all(_same(tokens[p + k], theirs[q + k], words[p + k], their_words[q + k]) for k in range(n)):
+            tried = [r for r in (lengthened(p, q, True), lengthened(p, q, False)) if r]
+            if not tried:
                 continue
-            a, b = 0, n
-            while p + a > 0 and q + a > 0 and _same(tokens[p + a - 1], theirs[q + a - 1], words[p + a - 1], their_words[q + a - 1]):
-                a -= 1
-            while p + b < len(tokens) and q + b < len(theirs) and _same(tokens[p + b], theirs[q + b], words[p + b], their_words[q + b]):
-                b += 1
+            a, b, slots = next((r for r in tried if r[2] is not None), tried[-1])
             done |= {(p + k, q + k) for k in range(a, b)}
-            slots: dict[bytes, bytes] = {}
-            if all(slots.setdefault(values[q + k], words[p + k]) == words[p + k] for k in range(a, b) if values[q + k]):
-                covered |= set(range(q + a, q + b))
-                first = min(first, p + a)
+            if slots is not None:
+                runs = [(a, b)]
                 changed |= any(k != v for k, v in slots.items())
+            else:
+                unlike = [a - 1, *(k for k in range(a, b) if words[p + k] != their_words[q + k]), b]
+                runs = [(x + 1, y) for x, y in zip(unlike, unlike[1:], strict=False) if y - x > n]
+            for x, y in runs:
+                covered |= set(range(q + x, q + y))
+                first = min(first, p + x)
         if covered:
             out.append((i, first, len(covered), len(covered) / len(theirs), changed))
     return out
@@ -216,9 +253,9 @@ def batch_matches(texts: list[bytes], items: Items) -> dict[int, list[tuple[int,
     claim("decontamination", VOCABULARY.forget)
     split = [t.split() for t in texts]
     starts = np.cumsum([0, *map(len, split)])[:-1]
-    at, masked, plain, _ = templated([w for words in split for w in words], starts)
+    at, hashes, _ = templated([w for words in split for w in words], starts)
     owner = np.searchsorted(starts, at, "right") - 1
-    near = {int(owner[p]) for n in items.owners for h in (masked, plain) for p, _ in items.hits(h, n) if owner[p] == owner[p + n - 1]}
+    near = {int(owner[p]) for n in items.owners for h in hashes for p, _ in items.hits(h, n) if owner[p] == owner[p + n - 1]}
     return {k: found for k in sorted(near) if (found := matches(texts[k], items))}
 
 
