@@ -60,7 +60,7 @@ def _searcher(notices: tuple) -> tuple[ahocorasick.Automaton, list]:
     for piece, places in seeds.items():
         machine.add_word(piece, (len(piece), places))
     machine.make_automaton()
-    return machine, [regex.compile(rf"(?be)(?:{regex.escape(wording, special_only=True)}){{e<={k}}}") for _, wording, k in notices]
+    return machine, [regex.compile(rf"(?be)(?<![^ ])(?:{regex.escape(wording, special_only=True)}){{e<={k}}}(?![^ ])") for _, wording, k in notices]
 
 
 def fuzzy_spans(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]:
