@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from strandframe.llm._common import cut, map_batches, texts_of
 
-#: Retried entities that are sent to every executor at most; beyond, they are joined by document.
+#: Settled entities that are sent to every executor at most; beyond, they are joined by text.
 MAX_SENT, MAX_ROUNDS, ROUNDS = 200_000, 12, 6
 KEY = "surrogates-1"
 
@@ -198,7 +198,7 @@ def surrogate(kind: str, name: str, gender: str, key: str = KEY, attempt: int =
             elif latin:
                 drawn, sound = divmod(drawn, 7)
                 made = ""
-                while len(made) < max(3, min(len(part), 12)):
+                while len(made) < max(3, min(len(part), 12)) + 2 * attempt:  # the space grows with the attempt
                     drawn, n = divmod(drawn, len(_NAME_PARTS))
                     made += _NAME_PARTS[n]
                 out.append(made.capitalize() + "nrslmkt"[sound])
@@ -218,13 +218,17 @@ def dressed(surface: str, normal_form: str, stand_in: str) -> str:
     return "".join(next(chars) if c.isalnum() or c == "+" else c for c in surface)
 
 
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: str = KEY) -> tuple[str, list[dict]]:
-    """The text with stand-ins, and the spans: offsets in the original and in the new text."""
+def replaced(text: str, settled: dict[tuple[str, str], tuple[int, str]], key: str = KEY) -> tuple[str, list[dict]]:
+    """The text with stand-ins, and the spans: offsets in the original and in the new text.
+
+    settled has the attempt and the gender of the forms for which these are not 0 and that of the mention.
+    """
     out, at, grown, spans = [], 0, 0, []
     for a, b, kind, gender in entities(text):
         surface = text[a:b]
         form = normal(kind, surface)
-        new = dressed(surface, form, surrogate(kind, form, gender, key, attempts.get((kind, form), 0)))
+        attempt, gender = settled.get((kind, form), (0, gender))
+        new = dressed(surface, form, surrogate(kind, form, gender, key, attempt))
         out += [text[at:a], new]
         spans.append({"type": kind, "start": a, "end": b, "new_start": a + grown, "new_end": a + grown + len(new)})
         grown += len(new) - (b - a)
@@ -243,7 +247,8 @@ def _found(docs: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def retries(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """(type, form, attempt) of the entities whose first stand-in collides, with the attempt that does not.
+    """(type, form, attempt, gender) of the entities whose first stand-in collides, with the attempt that does not, and
+    of those whose mentions differ in gender: one gender holds for all of them.
 
     A collision is a stand-in that is an original form of its type, or that a smaller form of the type has as well.
     Only colliding entities go to the next round; mostly there are none at all.
@@ -253,10 +258,10 @@ def retries(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
     def stand_in(kind: str, form: str, gender: str, attempt: int) -> str:
         return surrogate(kind, form, gender or "", key, attempt)
 
-    base = cut(_found(docs, key, text_col).groupBy("type", "form").agg(F.max("gender").alias("gender")))
+    base = cut(_found(docs, key, text_col).groupBy("type", "form").agg(F.max("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
     now = base.withColumn("attempt", F.lit(0)).withColumn("new", stand_in("type", "form", "gender", F.lit(0)))
     now = cut(now)
-    settled = now.where("false").select("type", "form", "attempt")
+    settled = now.where("mixed").select("type", "form", "attempt", "gender")
     for attempt in range(1, MAX_ROUNDS + 1):
         first = now.groupBy("type", "new").agg(F.min("form").alias("owner"), F.count("*").alias("n")).where("n > 1")
         met = now.join(first, ["type", "new"]).where("form <> owner").select("type", "form")
@@ -267,10 +272,24 @@ def retries(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
             return settled
         again = bad.join(base, ["type", "form"]).withColumn("attempt", F.lit(attempt)).withColumn("new", stand_in("type", "form", "gender", F.lit(attempt)))
         now = cut(now.join(bad, ["type", "form"], "left_anti").unionByName(again))
-        settled = now.where("attempt > 0").select("type", "form", "attempt")
+        settled = now.where("attempt > 0 or mixed").select("type", "form", "attempt", "gender")
     raise RuntimeError(f"stand-ins still collide after {MAX_ROUNDS} attempts")
 
 
+def _with_settled(docs: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
+    """docs and _settled: the rows of retries() that each text's own entities have, joined by the text's digest."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = sorted({(digest, kind, normal(kind, text[a:b])) for digest, text in zip(batch.column("digest").to_pylist(), texts_of(batch), strict=True) for a, b, kind, _ in entities(text)})
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in own], pa.string()) for i in range(3)], ["digest", "type", "form"])
+
+    digest = F.sha2(F.col(text_col), 256)
+    met = map_batches(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), run, "digest string, type string, form string").distinct()
+    of_text = met.join(again, ["type", "form"]).groupBy("digest").agg(F.collect_list(F.struct("type", "form", "attempt", "gender")).alias("_settled"))
+    of_text = of_text.withColumnRenamed("digest", "_digest")
+    return docs.join(of_text, digest == F.col("_digest"), "left").drop("_digest")
+
+
 SPANS = "array<struct<type:string,start:int,end:int,new_start:int,new_end:int>>"
 
 
@@ -278,25 +297,27 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", spans_
     """docs with stand-ins in text_col and, if spans_col is named, the spans.
 
     Null texts stay null, texts without entities stay as they are, other columns are untouched, every row is kept.
-    Two map passes over the texts; between them only distinct entities are shuffled. Colliding entities go to all
-    executors if there are at most max_sent, else an error says so (a larger key space is then due: a name format).
+    Two map passes over the texts; between them only distinct entities are shuffled. Settled entities go to all
+    executors if there are at most max_sent, else each text gets its own by a join. The column _settled must be free.
     """
     spark = docs.sparkSession
-    again = [(r.type, r.form, r.attempt) for r in retries(docs, key, text_col).limit(max_sent + 1).collect()]
-    if len(again) > max_sent:
-        raise ValueError(f"more than {max_sent} entities collide")
-    sent = spark.sparkContext.broadcast({(k, f): a for k, f, a in again})
-    at = docs.columns.index(text_col)
+    again = retries(docs, key, text_col)
+    few = [(r.type, r.form, r.attempt, r.gender) for r in again.limit(max_sent + 1).collect()]
+    many = len(few) > max_sent
+    sent = spark.sparkContext.broadcast({} if many else {(k, f): (a, g) for k, f, a, g in few})
+    at, width = docs.columns.index(text_col), len(docs.columns)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kind = pa.list_(pa.struct([("type", pa.string()), *((c, pa.int32()) for c in ("start", "end", "new_start", "new_end"))]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        done = [(None, []) if t is None else replaced(t, sent.value, key) for t in batch.column(at).to_pylist()]
-        columns, names = list(batch.columns), list(batch.schema.names)
+        texts = batch.column(at).to_pylist()
+        settled = [{(x["type"], x["form"]): (x["attempt"], x["gender"]) for x in row or ()} for row in batch.column("_settled").to_pylist()] if many else [sent.value] * len(texts)
+        done = [(None, []) if t is None else replaced(t, known, key) for t, known in zip(texts, settled, strict=True)]
+        columns, names = list(batch.columns)[:width], list(batch.schema.names)[:width]
         columns[at] = pa.array([t for t, _ in done], pa.string())
         if spans_col:
             columns.append(pa.array([s for _, s in done], kind))
             names.append(spans_col)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(docs, run, own + (f", `{spans_col}` {SPANS}" if spans_col else ""), text_col)
+    return map_batches(_with_settled(docs, again, text_col) if many else docs, run, own + (f", `{spans_col}` {SPANS}" if spans_col else ""), text_col)
