@@ -50,7 +50,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return done.select("doc_id", "n_units", "n_removed", F.sha2(text, 256).alias("kept_sha256"), text.alias("kept_text"))
+    return done.select("doc_id", "n_units", "n_removed", "n_shared", "shared_words", "longest_shared", F.sha2(text, 256).alias("kept_sha256"), text.alias("kept_text"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

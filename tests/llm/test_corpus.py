@@ -222,22 +222,64 @@ def test_flow_is_least_cost():
 
 
 def test_line_dedup_against_sql(docs, none):
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    named = docs.dropDuplicates(["doc_id"])
     con = duckdb.connect()
     con.register("documents", named.select("doc_id", "text").toPandas())
     want = con.sql(line_dedup.REPEATS_SQL).fetchall()
     from pyspark.sql import functions as F
 
-    got = line_dedup.remove_repeats(named).select("doc_id", "n_units", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce("text", F.lit("")))
-    drop = lambda rows: sorted(str(tuple(r)) for r in rows if r[0] != 900001)  # noqa: E731  null text has no units here
+    got = line_dedup.remove_repeats(named).select("doc_id", "n_units", "n_removed", "n_shared", "shared_words", "longest_shared", F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce("text", F.lit("")))
+    drop = lambda rows: sorted(str((None if r[0] != r[0] or r[0] is None else int(r[0]), *tuple(r)[1:])) for r in rows if r[0] != 900001)  # noqa: E731  null text has no units here
     assert drop(got.collect()) == drop(want)
-    out = line_dedup.remove_repeats(docs)
-    assert out.count() == docs.count() and out.where("doc_id = 900001 and text is null").count() == 1
-    for r in out.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").where("n_removed > 0").limit(30).collect():
-        assert r.text == "\n".join(r.old[s.start : s.start + s["size"]] for s in r.kept_spans)
     assert line_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["line", "paragraph"])
+def test_line_dedup_against_brute_force(spark, kind):
+    """Short and wordless lines, null and repeated ids, rows given twice, columns of all names used inside."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    pool = ["of", "}", "", "  ", "The End.", "the  end", "é ü", *(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 12))) for _ in range(40))]
+    sep = line_dedup.SEPARATORS[kind]
+    texts = [sep.join(rng.choice(pool) for _ in range(rng.randrange(9))) for _ in range(60)] + [None, "", "unique to one", "unique to the other" + sep + "of", sep.join(["of"] * 500)]
+    ids = [*range(60), 60, 61, 5, 5, None]
+    rows = [*zip(ids, texts, strict=True), (7, texts[7]), (7, texts[7]), (None, texts[-1] + sep + "last"), (None, texts[3])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("row", "positions", "parts", "flags", "starts", "doc", "id", "touched")})
+    key = {(r.doc_id, r.text): r.k for r in d.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    norm = lambda u: re.sub(r"[\s!-/:-@\[-`{-~]+", " ", u.lower()).strip()
+    places = defaultdict(list)
+    for i, t in set(rows):
+        for p, u in enumerate((t or "").split(sep)):
+            if norm(u):
+                places[norm(u)].append((i is None, i or 0, key[i, t], p))
+    want = []
+    for i, t in rows:
+        if t is None:
+            want.append((i, None, 0, 0, 0, 0, 0))
+            continue
+        us = t.split(sep)
+        own = [(i is None, i or 0, key[i, t], p) for p in range(len(us))]
+        shared = [u for u in us if norm(u) and len(places[norm(u)]) > 1]
+        kept = [u for u, o in zip(us, own, strict=True) if not norm(u) or min(places[norm(u)]) == o]
+        words = [len(norm(u).split()) for u in shared]
+        want.append((i, sep.join(kept), len(us), len(us) - len(kept), len(shared), sum(words), max(words, default=0)))
+    got = line_dedup.remove_repeats(d, kind=kind)
+    assert got.columns == [*d.columns, *line_dedup.ADDED]
+    found = got.collect()
+    assert sorted(str((r.doc_id, r.text, r.n_units, r.n_removed, r.n_shared, r.shared_words, r.longest_shared)) for r in found) == sorted(map(str, want))
+    assert all(r.row == "row" and r.id == "id" for r in found)
+    originals = defaultdict(list)
+    for i, t in rows:
+        originals[i].append(t)
+    for r in found:
+        assert r.text is None or any(t is not None and sep.join(t[s.start : s.start + s["size"]] for s in r.kept_spans) == r.text for t in originals[r.doc_id])
+    with pytest.raises(ValueError):
+        line_dedup.remove_repeats(d.withColumn("n_units", F.lit(1)))
+
+
 def test_decontamination(spark, docs, rows, none):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = [(r.item_id, r.text) for r in benchmark.collect()]
