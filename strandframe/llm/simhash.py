@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm._common import bytes_of, cut, map_batches, ship
@@ -54,9 +54,8 @@ class Signature:
 
 #: Four-word shingles with repeats, 64 bits, links at 4.
 FINGERPRINT = Signature()
-#: Near copies of similarity 0.8 or more on five-word shingles: sets of longer words in 128 bits find candidates
-#: (copies of that similarity differ in up to 17, others in 40 or more; short words are those that all texts of a
-#: language share, and would crowd the shards), 256 bits over five-word shingles decide (up to 50).
+#: Copies with scattered edits: sets of longer words in 128 bits find candidates, 256 bits over five-word shingles
+#: decide. Copies that differ by a block may be beyond these limits; near_copies finds those.
 NEAR_COPIES = Signature(((1, True, 2, 6), (5, True, 4, 0)), 17, 9, 50)
 
 
@@ -288,20 +287,35 @@ def in_classes(sigs: DataFrame, linked_sigs: DataFrame, id_col: str) -> DataFram
     return sigs.join(names, "sig").select(F.col("id").alias(id_col), "sig", "component_id")
 
 
+def row_of(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text together."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def keep_one(docs: DataFrame, kind: Signature = NEAR_COPIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the further members of each class: its smallest id stays.
 
-    Rows that repeat an id count as one document: of the kept ones the first by text stays. Rows with a null id all
-    stay, as nothing tells them apart.
+    Of rows of one id in a class one stays, and rows of one id with unlike texts are documents of their own. Rows
+    alike in id and text are one document. Rows with a null id all stay, as nothing tells them apart. Columns of docs
+    may have any name but _row and _rank.
     """
-    return without_copies(docs, classes(docs, kind, id_col, text_col), id_col, text_col)
+    of_id = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("id"), row_of(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([signature(t, kind) for t in bytes_of(batch)], pa.binary())], ["id", "row", "sig"])
+
+    sigs = cut(map_batches(keyed, run, f"id {of_id}, row long, sig binary"))
+    return firsts(docs, sigs, links(sigs.select("sig").distinct(), kind), id_col, text_col)
 
-def without_copies(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without the ids that their class (id, component_id) has another name for, and one row of each id."""
-    from pyspark.sql import Window
 
-    gone = found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    return left.withColumn("_rank", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(first))).where("_rank = 1").drop("_rank")
+def firsts(docs: DataFrame, sigs: DataFrame, linked_sigs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each class of sigs (id, row, sig) by the links, the first by (id, row), and all null ids."""
+    roots = connected_components(linked_sigs, "a", "b")
+    first = sigs.where("id is not null").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("first"))
+    placed = first.join(roots, first["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "first")
+    stay = cut(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")))
+    keyed = docs.withColumn("_row", row_of(id_col, text_col))
+    rank = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    kept = keyed.where(F.col(id_col).isNotNull()).join(stay, "_row", "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return kept.unionByName(keyed.where(F.col(id_col).isNull())).select(docs.columns)
