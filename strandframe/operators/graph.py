@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     mark = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that the join below meets exchanges on both sides and a hub can be split
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the smaller neighbours, and the node itself, are tied to the smallest one
