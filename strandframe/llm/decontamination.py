@@ -2,8 +2,8 @@
 
 Words become template tokens: numbers, number words with units and names turn into typed placeholders, all else is
 lower-cased. Windows of template tokens of the benchmark are hashed and joined to those of the documents; a hit is
-verified token by token, and its slots are checked: within one document and item the same original value must stand
-for the same value every time. A re-parameterised question matches although its numbers and names are new.
+verified token by token, and its slots are checked: within a run the same original value must stand for the same value
+every time. A re-parameterised question matches although its numbers and names are new.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, claim, ship, slices
+from strandframe.llm._common import bytes_of, claim, cut, map_batches, ship, slices
 
-#: Tokens in a window; the least share of an item's tokens that consistent windows of a document must cover; windows
-#: of the benchmark that are sent to every executor at most (beyond that the windows are joined by a shuffle).
-WINDOW, COVER, MAX_SENT = 8, 0.6, 1_000_000
+#: Tokens in a window; the least share of an item's tokens that consistent windows of a document must cover, or the
+#: number of tokens that is enough whatever the share; windows of the benchmark that are sent to every executor at most
+#: (beyond that the windows are joined by a shuffle, after a filter of 2 ** FILTER_BITS bits).
+WINDOW, COVER, ENOUGH, MAX_SENT, FILTER_BITS = 8, 0.6, 50, 1_000_000, 27
 #: Fixed values.
 UNITS = frozenset(b"mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec secs min mins h hr hrs hour hours day days week weeks month months year years metre metres meter meters mile miles inch inches foot feet gram grams kilogram kilograms pound pounds litre litres liter liters dollar dollars euro euros cent cents percent degree degrees watt watts volt volts hz khz mhz ghz kb mb gb tb mph kmh".split())
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split())
@@ -259,62 +260,136 @@ def batch_matches(texts: list[bytes], items: Items) -> dict[int, list[tuple[int,
     return {k: found for k in sorted(near) if (found := matches(texts[k], items))}
 
 
-def index_parts(benchmark: DataFrame, item_col: str, item_text_col: str, max_sent: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in slices of about max_sent windows, each small enough to send; one slice for most benchmarks."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null").groupBy("item").agg(F.min("text").alias("text"))
-    words = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0)).alias("n")).first().n  # bounds the windows
-    parts = max(1, -(-2 * words // max_sent))
-    for part in range(parts):
-        yield [(r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()]
+def counts(hit: tuple[int, int, int, float, bool], cover: float, enough: int) -> bool:
+    """Whether a match is contamination: a large share of the item, or a long passage of it."""
+    return hit[3] >= cover or hit[2] >= enough
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, max_sent: int = MAX_SENT) -> DataFrame:
-    """(id, item, first_token, n_tokens, share, reparameterised) for each document and item that shares enough.
+def _rows_of(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """(row, item, item_text): every benchmark row with a text, told apart by id and text; the id may be null."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_text")).where("item_text is not null").distinct()
+    return rows.withColumn("row", F.xxhash64("item", "item_text"))
 
-    The benchmark's size is checked first: up to max_sent windows it goes to every executor and the documents are
-    read once, without a shuffle; beyond, it is dealt by hash in slices of max_sent windows and each slice is
-    searched alike, so memory stays bounded and no item is lost. Null and empty texts match nothing. Repeated rows
-    each give rows; repeated item ids with unlike texts are an error of the benchmark, the smallest text stands.
+
+def _bound(rows: DataFrame) -> int:
+    """A bound of the number of windows of benchmark rows: three hashings a word."""
+    return 3 * rows.agg(F.coalesce(F.sum(F.regexp_count("item_text", F.lit(r"\S+"))), F.lit(0)).alias("n")).first().n
+
+
+_HIT = "first_token long, n_tokens long, share double, reparameterised boolean"
+_HIT_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+
+
+def _searched(rows: DataFrame, docs: DataFrame, window: int, cover: float, enough: int) -> DataFrame:
+    """(key, item, first_token, n_tokens, share, reparameterised) of docs (key, text): the small benchmark is sent."""
+    sent = docs.sparkSession.sparkContext.broadcast([(n, r.item, r.item_text.encode()) for n, r in enumerate(sorted(rows.collect(), key=lambda r: (r.item is None, r.item or 0, r.item_text)))])
+    of_key = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, names = Items([(n, data) for n, _, data in sent.value], window), [i for _, i, _ in sent.value]
+        for batch in batches:
+            for piece in slices(batch):
+                found = [(k, names[h[0]], *h[1:]) for k, own in batch_matches(bytes_of(piece), index).items() for h in own if counts(h, cover, enough)]
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array([f[0] for f in found], pa.int64())), *(pa.array([f[i + 1] for f in found], kind) for i, kind in enumerate([pa.int64(), *_HIT_KINDS]))], ["key", "item", "first_token", "n_tokens", "share", "reparameterised"])
+
+    return docs.mapInArrow(run, f"key {of_key}, item long, {_HIT}")
+
+
+def _joined(rows: DataFrame, docs: DataFrame, window: int, cover: float, enough: int) -> DataFrame:
+    """As _searched for docs (key, text) of unlike keys, with a benchmark of any size, reading the texts once.
+
+    Windows of benchmark and documents meet by a shuffled hash join; a bit map of the benchmark's window hashes, of
+    fixed size, keeps most of the documents' windows at home. The pairs (key, row) that meet are verified.
     """
     spark = docs.sparkSession
-    ship(spark)
-    of_id = docs.schema[id_col].dataType.simpleString()
-    found = None
-    for rows in index_parts(benchmark, item_col, item_text_col, max_sent):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value, window)
-            for batch in batches:
-                for piece in slices(batch):
-                    at, hits = [], []
-                    for k, own in batch_matches(bytes_of(piece), index).items():
-                        for hit in own:
-                            if hit[3] >= cover:
-                                at.append(k)
-                                hits.append(hit)
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at, pa.int64())), *(pa.array([h[i] for h in hits], kind) for i, kind in enumerate(kinds))], ["id", "item", "first_token", "n_tokens", "share", "reparameterised"])
-
-        got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {of_id}, item long, first_token long, n_tokens long, share double, reparameterised boolean")
-        found = got if found is None else found.unionByName(got)
-    return found.withColumnsRenamed({"id": id_col, "item": item_col})
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, max_sent: int = MAX_SENT) -> DataFrame:
-    """The rows of docs, all columns, that share too little with every item. Map-only for each slice of the benchmark."""
+    shift = 64 - FILTER_BITS
+    of_key = docs.schema["key"].dataType.simpleString()
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "item_text"):
+                own = []
+                for row, data in zip(piece.column(0).to_pylist(), bytes_of(piece, "item_text"), strict=True):
+                    index = Items([(0, data)], window)
+                    own += [(row, n, h) for n, keys in index.owners.items() for h in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([o[1] for o in own], pa.int32()), pa.array(np.array([o[2] for o in own], np.uint64).view(np.int64))], ["row", "n", "h"])
+
+    theirs = cut(rows.select("row", "item_text").mapInArrow(of_items, "row long, n int, h long"))
+    words = theirs.select(F.shiftrightunsigned("h", shift).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)  # at most this many rows were collected
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sizes = sorted(r.n for r in theirs.select("n").distinct().collect())  # 1 to window
+    sent = spark.sparkContext.broadcast(bits)
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontamination", VOCABULARY.forget)
+        known = sent.value
+        for batch in batches:
+            for piece in slices(batch):
+                split = [t.split() for t in bytes_of(piece)]
+                starts = np.cumsum([0, *map(len, split)])[:-1]
+                at, hashes, _ = templated([w for words in split for w in words], starts)
+                owner = np.searchsorted(starts, at, "right") - 1
+                for n in sizes:
+                    for h in hashes:
+                        own = window_hashes(h, n)
+                        bit = own >> np.uint64(shift)
+                        hit = np.flatnonzero(((known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (owner[: len(own)] == owner[n - 1 : n - 1 + len(own)])) if len(own) else np.zeros(0, np.int64)
+                        if len(hit):
+                            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner[hit])), pa.array(np.full(len(hit), n, np.int32)), pa.array(own[hit].view(np.int64))], ["key", "n", "h"])
+
+    met = docs.mapInArrow(of_docs, f"key {of_key}, n int, h long").distinct().join(theirs, ["n", "h"]).select("key", "row").distinct()
+    both = cut(met).join(rows, "row").join(docs, "key").select("key", "text", "item", "item_text")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("decontamination", VOCABULARY.forget)
+        found = []
+        for k, (data, own) in enumerate(zip(bytes_of(batch), bytes_of(batch, "item_text"), strict=True)):
+            found += [(k, h) for h in matches(data, Items([(0, own)], window)) if counts(h, cover, enough)]
+        at = pa.array([k for k, _ in found], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *(pa.array([h[i + 1] for _, h in found], kind) for i, kind in enumerate(_HIT_KINDS))], ["key", "item", "first_token", "n_tokens", "share", "reparameterised"])
+
+    return map_batches(both, verify, f"key {of_key}, item long, {_HIT}")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, enough: int = ENOUGH, max_sent: int = MAX_SENT) -> DataFrame:
+    """(id, item, first_token, n_tokens, share, reparameterised) for each document and benchmark row that shares enough.
+
+    The benchmark's size is checked first: up to max_sent windows it goes to every executor and the documents are
+    read once, without a shuffle; beyond, windows are joined by their hashes. Either way no row of the benchmark is
+    lost: one without an id is reported with a null item, and rows of one id with unlike texts are searched each.
+    Null and empty texts match nothing. Repeated rows of docs each give rows; repeated rows of the benchmark count
+    once. No rows on either side give no rows. Other columns are ignored.
+    """
+    ship(docs.sparkSession)
+    rows = _rows_of(benchmark, item_col, item_text_col)
+    if _bound(rows) <= max_sent:
+        found = _searched(rows, docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), window, cover, enough)
+        return found.withColumnsRenamed({"key": id_col, "item": item_col})
+    keyed = docs.select(F.col(id_col).alias("id"), F.md5(text_col).alias("key"), F.col(text_col).alias("text")).where("key is not null")
+    found = _joined(rows, keyed.select("key", "text").dropDuplicates(["key"]), window, cover, enough)
+    return keyed.select("id", "key").join(found, "key").drop("key").withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER, enough: int = ENOUGH, max_sent: int = MAX_SENT) -> DataFrame:
+    """The rows of docs, all columns, that share too little with every benchmark row. Map-only for most benchmarks.
+
+    Null and empty texts stay. Columns of docs may have any name but, for a benchmark beyond max_sent, _key.
+    """
     spark = docs.sparkSession
     ship(spark)
-    out = docs
-    for rows in index_parts(benchmark, item_col, item_text_col, max_sent):
-        sent = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Items(sent.value, window)
-            for batch in batches:
-                for piece in slices(batch, text_col):
-                    found = batch_matches(bytes_of(piece, text_col), index)
-                    yield piece.filter(pa.array([all(h[3] < cover for h in found.get(k, ())) for k in range(piece.num_rows)], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    rows = _rows_of(benchmark, item_col, item_text_col)
+    if _bound(rows) > max_sent:
+        texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text")).where("key is not null").dropDuplicates(["key"])
+        gone = cut(_joined(rows, texts, window, cover, enough).select(F.col("key").alias("_key")).distinct())
+        return docs.join(gone, F.md5(docs[text_col]) == gone["_key"], "left_anti")
+    sent = spark.sparkContext.broadcast([(n, r.item_text.encode()) for n, r in enumerate(rows.collect())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Items(sent.value, window)
+        for batch in batches:
+            for piece in slices(batch, text_col):
+                found = batch_matches(bytes_of(piece, text_col), index)
+                yield piece.filter(pa.array([not any(counts(h, cover, enough) for h in found.get(k, ())) for k in range(piece.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
