@@ -1,15 +1,20 @@
 """PII surrogates (operator 6).
 
 Detected entities are replaced by keyed stand-ins of the same type, length and format: letters become letters of
-the same script and case, digits digits, everything else stays. A keyed Feistel walk over the entity's positions
-makes the mapping one-to-one within a format, so unlike entities stay unlike and one entity has one stand-in in all
-documents (coreference) without any table. What a walk cannot promise is checked over the whole corpus: a stand-in
-must not equal an original, and two entities of a type must not meet in one stand-in; those that do (personal names
-draw from lists, so they can) get the next attempt until none is left.
+the same script and case, digits digits, check digits fit again, everything else stays. A keyed Feistel walk over the
+entity's positions makes the mapping one-to-one within a format, so unlike entities stay unlike and one entity has one
+stand-in in all documents (coreference) without any table. What a walk cannot promise is checked over the whole corpus:
+a stand-in must not equal an original, and two entities of a type must not meet in one stand-in; those that do
+(personal names draw from lists, so they can) get the next attempt, from a larger space, until none is left. A surname
+has one stand-in wherever it stands, alone or after given names.
+
+Names are found after a title, after a common given name, after words that introduce a name, and wherever a name so
+found is mentioned again in the same text, in full or by surname; given names alone stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
@@ -26,22 +31,34 @@ from pyspark.sql.types import StructType
 from strandframe.llm._common import cut, map_batches, texts_of
 
 #: Settled entities that are sent to every executor at most; beyond, they are joined by text.
-MAX_SENT, MAX_ROUNDS, ROUNDS = 200_000, 12, 6
+MAX_SENT, ROUNDS = 200_000, 6
 KEY = "surrogates-1"
 
-_TITLES_M, _TITLES_F = r"Mr|Herr|Monsieur|M|Señor|Sr|Don|Sir|Lord", r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Lady|Madam"
-_NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+"
+#: Given names by gender and script.
+GIVEN = {
+    ("m", "Latin"): "James Robert John Michael David William Thomas Daniel Paul Mark Peter Lukas Felix Jonas Louis Hugo Arthur Carlos Miguel Javier".split(),
+    ("f", "Latin"): "Mary Anna Linda Susan Sarah Karen Nancy Laura Emma Julia Sophie Clara Marie Camille Alice Carmen Lucia Elena Ines Paula".split(),
+    ("m", "Cyrillic"): "Иван Пётр Алексей Дмитрий Николай Сергей Андрей Михаил Виктор Павел".split(),
+    ("f", "Cyrillic"): "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана Вера Нина".split(),
+    ("m", "Greek"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης Βασίλης Χρήστος".split(),
+    ("f", "Greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα Βασιλική Δήμητρα".split(),
+}
+#: Titles by gender, and words that introduce a name.
+_TITLES_M, _TITLES_F = r"Mr|Herr|Monsieur|M|Señor|Sr|Don|Sir|Lord|г-н|[Гг]осподин|[Κκ]ος", r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Lady|Madam|г-жа|[Гг]оспожа|[Κκ]α"
+_LEADS = ("my name is ", "My name is ", "Name: ", "name: ")
+_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+|[А-ЯЁ][а-яё-]+|[Α-ΩΆΈΉΊΌΎΏ][α-ωάέήίόύώϊϋΐΰ-]+)"
+_GENDER = {n: g for (g, _), names in GIVEN.items() for n in names}
 #: Detectors in order of precedence; a match may not overlap an earlier one's.
 DETECTORS = (
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|sk|pk|xox[bp])[_-][A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])|(?i:(?<![A-Za-z])(?:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}[\"'])(?P<v>[^\s\"']{6,200})(?=[\"'])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|sk|pk|xox[bp])[_-][A-Za-z0-9_-]{16,}|(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])|(?i:(?<![A-Za-z])(?:password|passwd|secret|api[_-]?key|token)\s{0,3}[=:]\s{0,3}[\"'])(?P<v>[^\s\"']{6,})(?=[\"'])")),
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")),
-    ("ipv6", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    ("ipv6", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])")),
     ("ipv4", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")),
     ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")),
     ("card", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])(?!\.\d)")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])")),
-    ("name", re.compile(rf"(?<!\w)(?:(?P<m>(?:{_TITLES_M})\.?)|(?P<f>(?:{_TITLES_F})\.?)|(?P<n>(?:Dr|Prof)\.)) (?P<v>{_NAME}(?: {_NAME}){{0,2}})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([ .-])\d{3}\1\d{4})(?![\w-])")),
+    ("name", re.compile(rf"(?<!\w)(?:(?:(?P<m>(?:{_TITLES_M})\.?)|(?P<f>(?:{_TITLES_F})\.?)|(?P<n>(?:Dr|Prof)\.)|(?:[Mm]y name is|[Nn]ame:)) (?P<v>{_NAME}(?: {_NAME}){{0,2}})|(?P<w>(?:{'|'.join(_GENDER)})(?: {_NAME}){{1,2}}))(?!\w)")),
 )
 _QUOTED = re.compile(r"[=:]\s{0,3}[\"']")
 
@@ -50,9 +67,12 @@ _QUOTED = re.compile(r"[=:]\s{0,3}[\"']")
 def _hints() -> ahocorasick.Automaton:
     """Strings without which a name, an address or a key cannot stand in a text."""
     machine = ahocorasick.Automaton()
-    for title in f"{_TITLES_M}|{_TITLES_F}|Dr|Prof".split("|"):
+    titles = re.sub(r"\[(.)(.)\](\w+)", r"\1\3|\2\3", f"{_TITLES_M}|{_TITLES_F}|Dr|Prof").split("|")
+    for title in titles:
         for end in (" ", ". "):
             machine.add_word(title + end, "name")
+    for lead in (*_LEADS, *(f"{n} " for names in GIVEN.values() for n in names)):
+        machine.add_word(lead, "name")
     for lead in ("ghp_", "ghp-", "gho_", "gho-", "sk_", "sk-", "pk_", "pk-", *(f"xox{c}{d}" for c in "bp" for d in "_-")):
         machine.add_word(lead, "secret")
     machine.add_word("@", "email")
@@ -60,11 +80,6 @@ def _hints() -> ahocorasick.Automaton:
     return machine
 
 
-#: Given names by gender and script.
-GIVEN = {
-    ("m", "Latin"): "James Robert John Michael David William Thomas Daniel Paul Mark Peter Lukas Felix Jonas Louis Hugo Arthur Carlos Miguel Javier".split(),
-    ("f", "Latin"): "Mary Anna Linda Susan Sarah Karen Nancy Laura Emma Julia Sophie Clara Marie Camille Alice Carmen Lucia Elena Ines Paula".split(),
-}
 _NAME_PARTS = "ba be bo da de do fa fe ga ge ha he ka ke la le lo ma me mo na ne no pa pe ra re ro sa se ta te va ve wa wi".split()
 
 
@@ -93,11 +108,32 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             named = m.groupdict()
-            a, b = m.span("v") if named.get("v") else m.span()
+            a, b = next((m.span(g) for g in ("v", "w") if named.get(g)), m.span())
             if all(b <= x or y <= a for x, y, *_ in found):
-                gender = "m" if named.get("m") else "f" if named.get("f") else ""
+                gender = "m" if named.get("m") else "f" if named.get("f") else _GENDER.get(text[a:b].split(" ")[0], "") if kind == "name" and " " in text[a:b] else ""
                 found.append((a, b, kind, gender))
-    return sorted(found)
+    return sorted(found + _mentions(text, found))
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further places of the names found in a text: the whole name, or its last part alone."""
+    known = {}
+    for a, b, kind, gender in found:
+        if kind == "name":
+            whole = text[a:b]
+            for form in (whole, whole.split(" ")[-1]):
+                known[form] = known.get(form) or gender
+    if not known:
+        return []
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(k) for k in sorted(known, key=len, reverse=True))})(?!\w)")
+    taken = sorted((a, b) for a, b, *_ in found)
+    starts = [a for a, _ in taken]
+    out = []
+    for m in again.finditer(text):
+        at = bisect.bisect_right(starts, m.start()) - 1
+        if (at < 0 or taken[at][1] <= m.start()) and (at + 1 == len(taken) or m.end() <= starts[at + 1]):
+            out.append((*m.span(), "name", known[m[0]]))
+    return out
 
 
 def normal(kind: str, surface: str) -> str:
@@ -131,7 +167,7 @@ def walk(values: list[int], sizes: list[int], key: str, tag: str) -> list[int]:
     return values
 
 
-_SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+_SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ")
 _PLACE = {c: (s, i) for s in _SETS for i, c in enumerate(s)}
 
 
@@ -157,8 +193,18 @@ def _spell(text: str, key: str, tag: str, fixed: frozenset[int] = frozenset(), h
     return "".join(out)
 
 
-def surrogate(kind: str, name: str, gender: str, key: str = KEY, attempt: int = 0) -> str:
-    """The stand-in of an entity's normal form."""
+def iban_check(country: str, body: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
+def script_of(name: str) -> str:
+    """The script of a name's first letter."""
+    return unicodedata.name(next((c for c in name if c.isalpha()), "A"), "LATIN").split(" ")[0].capitalize()
+
+
+def surrogate(kind: str, name: str, gender: str, key: str = KEY, attempt: int = 0, surname_attempt: int = 0) -> str:
+    """The stand-in of an entity's normal form. A name of several parts keeps the stand-in of its last part, its surname."""
     tag = f"{kind}|{attempt}" if attempt else kind
     if kind == "ipv4":
         octets = [int(x) for x in name.split(".")]
@@ -167,15 +213,19 @@ def surrogate(kind: str, name: str, gender: str, key: str = KEY, attempt: int =
         got = walk([x - a for x, (a, _) in zip(octets, bands, strict=True)], [n for _, n in bands], key, f"{tag}|{[a for a, _ in bands]}")
         return ".".join(str(v + a) for v, (a, _) in zip(got, bands, strict=True))
     if kind == "card":
-        body = _spell(name[:-1], key, tag)
-        if not luhn(name):
-            return body + _spell(name[-1], key, f"{tag}|{body}")
-        return next(body + d for d in "0123456789" if luhn(body + d))
+        fitting = lambda digits: next(d for d in range(10) if luhn(f"{digits}{d}"))
+        body, off = _spell(name[:-1], key, tag), (int(name[-1]) - fitting(name[:-1])) % 10
+        if off:  # a check digit that does not fit stays one that does not
+            off = 1 + (off - 1 + _stream(key, f"{tag}|{body}")) % 9
+        return f"{body}{(fitting(body) + off) % 10}"
     if kind == "phone":
         fixed = frozenset(range(len(name) - 10)) if name.startswith("+") and len(name) > 11 else frozenset({0, 1} if name.startswith("+") else ())
         return _spell(name, key, tag, fixed)
     if kind == "iban":
-        return _spell(name, key, tag, frozenset({0, 1}))
+        if iban_check(name[:2], name[4:]) != name[2:4]:
+            return _spell(name, key, tag, frozenset({0, 1}))
+        body = _spell(name[4:], key, f"{tag}|{name[:2]}")
+        return name[:2] + iban_check(name[:2], body) + body
     if kind == "email":
         local, _, domain = name.rpartition("@")
         host, dot, top = domain.rpartition(".")
@@ -187,27 +237,32 @@ def surrogate(kind: str, name: str, gender: str, key: str = KEY, attempt: int =
         return _spell(name, key, tag, frozenset(range(lead.end() if lead else 0)))
     if kind == "ipv6":
         return _spell(name, key, tag, hexed=True)
-    if kind == "name":
-        parts, out = name.split(" "), []
-        for i, part in enumerate(parts):
-            drawn = _stream(key, f"{tag}|{part}|{gender if i == 0 and len(parts) > 1 else ''}")
-            latin = all("LATIN" in unicodedata.name(c, "LATIN") for c in part if c.isalpha())
-            given = GIVEN.get((gender, "Latin")) if latin and i == 0 and len(parts) > 1 else None
-            if given:
-                out.append(given[drawn % len(given)])
-            elif latin:
-                drawn, sound = divmod(drawn, 7)
-                made = ""
-                while len(made) < max(3, min(len(part), 12)) + 2 * attempt:  # the space grows with the attempt
-                    drawn, n = divmod(drawn, len(_NAME_PARTS))
-                    made += _NAME_PARTS[n]
-                out.append(made.capitalize() + "nrslmkt"[sound])
+    if kind in ("name", "surname"):
+        *given, last = name.split(" ")
+        out = []
+        for i, part in enumerate(given):
+            names = GIVEN.get((gender, script_of(part)))
+            if names:  # one more given name with each attempt, so the space grows
+                out.append("-".join(names[_stream(key, f"given|{attempt}|{i}|{part}|{gender}|{n}") % len(names)] for n in range(attempt + 1)))
             else:
-                out.append(_spell(part, key, tag))
-        return " ".join(out)
+                out.append(_surname(part, key, f"given|{attempt}|{i}", attempt))
+        times = surname_attempt if given else surname_attempt or attempt
+        return " ".join([*out, _surname(last, key, f"surname|{times}", times)])
     return _spell(name, key, tag)
 
 
+def _surname(part: str, key: str, tag: str, attempt: int) -> str:
+    """A made-up name of the part's script, longer with each attempt."""
+    if script_of(part) != "Latin":
+        return _spell(part, key, tag) + (_spell(part.lower(), key, f"{tag}|more") if attempt else "")
+    drawn, sound = divmod(_stream(key, f"{tag}|{part}"), 7)
+    made = ""
+    while len(made) < max(3, min(len(part), 12)) + 2 * attempt:
+        drawn, n = divmod(drawn, len(_NAME_PARTS))
+        made += _NAME_PARTS[n]
+    return made.capitalize() + "nrslmkt"[sound]
+
+
 def dressed(surface: str, normal_form: str, stand_in: str) -> str:
     """The stand-in in the format of the surface: separators and letter case of the original come back."""
     if surface == normal_form or len([c for c in surface if c.isalnum() or c == "+"]) != len(stand_in):
@@ -228,7 +283,8 @@ def replaced(text: str, settled: dict[tuple[str, str], tuple[int, str]], key: st
         surface = text[a:b]
         form = normal(kind, surface)
         attempt, gender = settled.get((kind, form), (0, gender))
-        new = dressed(surface, form, surrogate(kind, form, gender, key, attempt))
+        surname_attempt = settled.get(("surname", form.split(" ")[-1]), (0, ""))[0] if kind == "name" else 0
+        new = dressed(surface, form, surrogate(kind, form, gender, key, attempt, surname_attempt))
         out += [text[at:a], new]
         spans.append({"type": kind, "start": a, "end": b, "new_start": a + grown, "new_end": a + grown + len(new)})
         grown += len(new) - (b - a)
@@ -236,51 +292,70 @@ def replaced(text: str, settled: dict[tuple[str, str], tuple[int, str]], key: st
     return ("".join(out) + text[at:] if spans else text), spans
 
 
-def _found(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+def _forms(text: str) -> set[tuple[str, str, str]]:
+    """(type, form, gender) of a text's entities; the last part of a name is a surname besides."""
+    own = {(kind, normal(kind, text[a:b]), gender) for a, b, kind, gender in entities(text)}
+    return own | {("surname", form.split(" ")[-1], "") for kind, form, _ in own if kind == "name"}
+
+
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
     """(type, form, gender) of the entities of all texts, each once per run of rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = sorted({(kind, normal(kind, text[a:b]), gender) for text in texts_of(batch) for a, b, kind, gender in entities(text)})
+        own = sorted(set().union(*map(_forms, texts_of(batch))))
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in own], pa.string()) for i in range(3)], ["type", "form", "gender"])
 
     return map_batches(docs.select(F.col(text_col).alias("text")), run, "type string, form string, gender string")
 
 
-def retries(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """(type, form, attempt, gender) of the entities whose first stand-in collides, with the attempt that does not, and
-    of those whose mentions differ in gender: one gender holds for all of them.
+def _drawn(forms: DataFrame, key: str) -> DataFrame:
+    """forms (type, form, gender, last, attempt) with their stand-ins in the column new."""
 
-    A collision is a stand-in that is an original form of its type, or that a smaller form of the type has as well.
-    Only colliding entities go to the next round; mostly there are none at all.
-    """
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        new = [surrogate(kind, form, gender, key, attempt, last) for kind, form, gender, last, attempt in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], [*batch.schema.names, "new"])
+
+    return map_batches(forms.select("type", "form", "gender", "last", "attempt"), run, "type string, form string, gender string, last int, attempt int, new string", "form")
 
-    @F.udf("string")
-    def stand_in(kind: str, form: str, gender: str, attempt: int) -> str:
-        return surrogate(kind, form, gender or "", key, attempt)
 
-    base = cut(_found(docs, key, text_col).groupBy("type", "form").agg(F.max("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
-    now = base.withColumn("attempt", F.lit(0)).withColumn("new", stand_in("type", "form", "gender", F.lit(0)))
-    now = cut(now)
-    settled = now.where("mixed").select("type", "form", "attempt", "gender")
-    for attempt in range(1, MAX_ROUNDS + 1):
+def _settled(base: DataFrame, key: str) -> DataFrame:
+    """base (type, form, gender, last) with the first attempt whose stand-in collides with nothing, round by round."""
+    now = cut(_drawn(base.withColumn("attempt", F.lit(0)), key))
+    for attempt in range(1, 65):
         first = now.groupBy("type", "new").agg(F.min("form").alias("owner"), F.count("*").alias("n")).where("n > 1")
         met = now.join(first, ["type", "new"]).where("form <> owner").select("type", "form")
-        own = base.select("type", F.col("form").alias("new"))
-        real = now.join(own, ["type", "new"], "left_semi").select("type", "form")
+        real = now.join(base.select("type", F.col("form").alias("new")), ["type", "new"], "left_semi").select("type", "form")
         bad = cut(met.unionByName(real).distinct())
         if not bad.head(1):
-            return settled
-        again = bad.join(base, ["type", "form"]).withColumn("attempt", F.lit(attempt)).withColumn("new", stand_in("type", "form", "gender", F.lit(attempt)))
+            return now
+        again = _drawn(bad.join(base, ["type", "form"]).withColumn("attempt", F.lit(attempt)), key)
         now = cut(now.join(bad, ["type", "form"], "left_anti").unionByName(again))
-        settled = now.where("attempt > 0 or mixed").select("type", "form", "attempt", "gender")
-    raise RuntimeError(f"stand-ins still collide after {MAX_ROUNDS} attempts")
+    raise RuntimeError(f"a format has too few stand-ins for its entities: {bad.first()}")
+
+
+def retries(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+    """(type, form, attempt, gender) of the entities whose first stand-in collides, with the attempt that does not, and
+    of those whose mentions differ in gender: one gender holds for all of them.
+
+    A collision is a stand-in that is an original form of its type, or that a smaller form of the type has as well.
+    Only colliding entities go to the next round; mostly there are none at all. Surnames settle first, then the names
+    of several parts, whose attempts change given names only.
+    """
+    base = cut(_found(docs, text_col).groupBy("type", "form").agg(F.max("gender").alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
+    several = (F.col("type") == "name") & F.col("form").contains(" ")
+    plain = _settled(base.where((F.col("type") != "name")).select("type", "form", "gender", F.lit(0).alias("last")), key)
+    surnames = plain.where("type = 'surname'").select(F.col("form").alias("surname"), F.col("attempt").alias("last"))
+    named = base.where(several).withColumn("surname", F.element_at(F.split("form", " "), -1)).join(surnames, "surname")
+    full = _settled(cut(named.select("type", "form", "gender", "last")), key)
+    found = plain.unionByName(full).join(base.select("type", "form", "mixed"), ["type", "form"])
+    return found.where("attempt > 0 or mixed").select("type", "form", "attempt", "gender")
 
 
 def _with_settled(docs: DataFrame, again: DataFrame, text_col: str) -> DataFrame:
     """docs and _settled: the rows of retries() that each text's own entities have, joined by the text's digest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = sorted({(digest, kind, normal(kind, text[a:b])) for digest, text in zip(batch.column("digest").to_pylist(), texts_of(batch), strict=True) for a, b, kind, _ in entities(text)})
+        own = sorted({(digest, kind, form) for digest, text in zip(batch.column("digest").to_pylist(), texts_of(batch), strict=True) if digest is not None for kind, form, _ in _forms(text)})
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in own], pa.string()) for i in range(3)], ["digest", "type", "form"])
 
     digest = F.sha2(F.col(text_col), 256)
@@ -296,10 +371,14 @@ SPANS = "array<struct<type:string,start:int,end:int,new_start:int,new_end:int>>"
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", spans_col: str | None = None, max_sent: int = MAX_SENT) -> DataFrame:
     """docs with stand-ins in text_col and, if spans_col is named, the spans.
 
-    Null texts stay null, texts without entities stay as they are, other columns are untouched, every row is kept.
-    Two map passes over the texts; between them only distinct entities are shuffled. Settled entities go to all
-    executors if there are at most max_sent, else each text gets its own by a join. The column _settled must be free.
+    Null texts stay null, texts without entities stay as they are, other columns are untouched, every row is kept and
+    repeated rows fare alike; ids do not matter. Long texts are searched whole. An empty table gives no rows. Two map
+    passes over the texts; between them only distinct entities are shuffled. Settled entities go to all executors if
+    there are at most max_sent, else each text gets its own by a join. spans_col and, then, _settled and _digest must
+    be free.
     """
+    if spans_col in docs.columns:
+        raise ValueError(f"column in the way: {spans_col}")
     spark = docs.sparkSession
     again = retries(docs, key, text_col)
     few = [(r.type, r.form, r.attempt, r.gender) for r in again.limit(max_sent + 1).collect()]

@@ -143,14 +143,3 @@ def test_surrogates_of_a_table(spark, docs, none):
     assert done.columns == docs.columns and done.count() == docs.count()
     assert done.where("doc_id = 900001 and text is null").count() == 1
     assert pii.pseudonymise(none).count() == 0
-
-
-def test_colliding_surrogates_retry(spark, monkeypatch):
-    found = spark.createDataFrame([("Mr Xa and Mr Xb and Mr Xc",)], "text string")
-    plain = pii.surrogate
-
-    def poor(kind, name, gender, key=pii.KEY, attempt=0):
-        return "Same" if attempt == 0 else plain(kind, name, gender, key, attempt)
-
-    monkeypatch.setattr(pii, "surrogate", poor)
-    assert sorted((r.form, r.attempt) for r in pii.retries(found).collect()) in ([("Xb", 1), ("Xc", 1)], [])
