@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made."""
+    """The folder of the session's spark.checkpoint.dir, which driver and executors share; without one, an error.
+
+    A folder made here would be the driver's own: executors would write to their disks and later reads miss the files.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
