@@ -10,6 +10,7 @@ which a pattern's rest runs out, and only that prefix is ranked.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Sequence
 from fractions import Fraction
@@ -97,14 +98,19 @@ def route(supply: dict[tuple, int], quotas: dict[str | None, int], repeats: int
 def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, repeats: int = REPEATS, seed: str = SEED, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
     """(id, members, size, taken) per row, with the sizes and targets of the sources.
 
-    members is an array of the sources a row may serve (null is a source too); a source's size counts every row
-    that may serve it. taken lies between 0 and repeats * size. Rows that repeat (id and size alike) share a place in
-    the order, whichever comes first. An empty table gives no rows and no targets. More than max_patterns membership
-    patterns raise an error, since their sums are what the driver holds.
+    members is an array of the sources a row may serve (null is a source too); it comes back sorted, without repeats,
+    and empty where it was null: such a row serves none and is not taken. A source's size counts every row that may
+    serve it. taken lies between 0 and repeats * size. Rows that repeat (id and size alike) share a place in the
+    order, whichever comes first. An empty table gives no rows and no targets. More than max_patterns membership
+    patterns raise an error, since their sums are what the driver holds. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = cut(docs.select(F.col(id_col).alias("id"), members.cast(ArrayType(StringType())).alias("members"), size.alias("size"), key.alias("key")).withColumn("part", F.substring("key", 1, 3)))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(members.cast(ArrayType(StringType())), F.array().cast(ArrayType(StringType())))))
+    rows = cut(docs.select(F.col(id_col).alias("id"), pattern.alias("members"), size.alias("size"), key.alias("key")))
+    # the longer the table, the longer the prefix: about a million rows have one, and are ranked in one task
+    digits = max(3, math.ceil(math.log(max(1, rows.count()) / (1 << 20), 16)))
+    rows = rows.withColumn("part", F.substring("key", 1, digits))
     parts = cut(rows.groupBy("members", "part").agg(F.sum("size").alias("words")))
     sums = parts.groupBy("members").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
     if len(sums) > max_patterns:

@@ -9,6 +9,7 @@ three-word windows) come first.
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from strandframe.llm._common import bytes_of, claim, map_batches
 
 #: Fixed values. Characters per token (low, high), highest share of byte-fallback tokens, lowest entropy in bits of
-#: a text of MIN_TOKENS tokens or more; by language, then by script. The lower limits of the four languages are fitted
+#: a text of FULL_TOKENS tokens or more (see least_entropy); by language, then by script. The lower limits of the four languages are fitted
 #: to the labelled documents of sf0.1: just below those of quality 1 (in English two of 1973 lie below).
 BANDS = {
     "en": (1.99, 7.0, 0.05, 5.3),
@@ -33,7 +34,7 @@ BANDS = {
     "Han": (0.3, 3.0, 0.9, 4.0),
     "other": (0.2, 8.0, 1.0, 3.0),
 }
-MIN_TOKENS, KEPT_WORDS = 100, 200_000
+FULL_TOKENS, KEPT_WORDS = 100, 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Code points of scripts, first to last.
@@ -161,11 +162,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def least_entropy(limit: float) -> Column:
+    """The limit for a text's length: n tokens have log2 n bits at most, so a shorter text's limit falls in proportion."""
+    return limit * F.least(F.lit(1.0), F.log2(F.greatest(F.col("n_tokens"), F.lit(1))) / math.log2(FULL_TOKENS))
+
+
 def in_band(language: Column, bands: dict = BANDS) -> Column:
     """Whether the measures lie in the band of the language, else of the script; texts without tokens do not."""
     out = F.lit(None).cast("boolean")
     for name, (low, high, byte_share, entropy) in reversed(bands.items()):
-        inside = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= byte_share) & ((F.col("entropy") >= entropy) | (F.col("n_tokens") < MIN_TOKENS))
+        inside = F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= byte_share) & (F.col("entropy") >= least_entropy(entropy))
         out = F.when(F.coalesce(F.when(language.isin(list(bands)), language), F.col("script")) == name, inside).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
@@ -173,14 +179,10 @@ def in_band(language: Column, bands: dict = BANDS) -> Column:
 def verdicts(docs: DataFrame, vocabulary_path: str, text_col: str = "text", language_col: str = "lang", bands: dict = BANDS) -> DataFrame:
     """docs with its measures, base_failed and kept (a rejection by a base rule or a band makes it false).
 
-    A null or unknown language is judged by the text's script. No row is lost and repeated rows fare alike.
+    A null or unknown language is judged by the text's script. No row is lost and repeated rows fare alike. Own
+    columns named like an added one are an error.
     """
+    if taken := {"base_failed", "kept"} & set(docs.columns):
+        raise ValueError(f"columns in the way: {sorted(taken)}")
     out = measures(docs, vocabulary_path, text_col).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & in_band(F.col(language_col), bands))
-
-
-def fit_bands(measured: DataFrame, language_col: str = "lang", low: float = 0.75, high: float = 1.4) -> DataFrame:
-    """(language, band limits) from medians over all measured rows, for corpora without fixed bands."""
-    middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    grouped = measured.groupBy(language_col).agg(middle("chars_per_token").alias("c"), middle("byte_share").alias("b"), middle("entropy").alias("e"))
-    return grouped.select(language_col, (F.col("c") * low).alias("chars_low"), (F.col("c") * high).alias("chars_high"), (F.col("b") + 0.1).alias("byte_high"), (F.col("e") * low).alias("entropy_low"))

@@ -14,18 +14,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, shared_folder, ship, slices
+from strandframe.llm._common import bytes_of, cut, shared_folder, ship, slices
 
 LENGTH, GRAM, SHALLOW = 200, 80, 32
 BLOCK, SOLVE_BYTES, SMALL = 1 << 17, 4 << 20, 256
+#: A segment's shape is one number: where its gram begins, times this, plus its window starts.
+_SHAPE = 1 << 15
 _POSITION = np.uint64((1 << 23) - 1)
 
 
@@ -241,12 +241,13 @@ def _marks(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 data = bytes_of(part)
                 text, start, n, off, hashes = segments(data, length, gram)
                 digests = np.fromiter((xxhash.xxh3_64_intdigest(data[t][a : a + k]) for t, a, k in zip(text.tolist(), start.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(text))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(hashes.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(start.astype(np.int32)), pa.array((off * 256 + n).astype(np.int32))], ["row", "gram", "digest", "start", "shape"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(hashes.view(np.int64)), pa.array(digests.view(np.int64)), pa.array(start.astype(np.int32)), pa.array((off * _SHAPE + n).astype(np.int32))], ["row", "gram", "digest", "start", "shape"])
 
     found = texts.select("row", "text").mapInArrow(run, "row long, gram long, digest long, start int, shape int")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b")).where("n > 1").select("gram", (F.col("a") == F.col("b")).alias("alike"))
+    grams = cut(grams)  # the join then meets exchanges on both sides, and a frequent gram can be split
     met = found.select("row", "gram", "start", "shape").join(grams, "gram")
-    span = F.when(F.col("alike"), F.struct("start", (F.col("start") + F.col("shape") % 256 + (length - 1)).cast("int").alias("end")))
+    span = F.when(F.col("alike"), F.struct("start", (F.col("start") + F.col("shape") % _SHAPE + (length - 1)).cast("int").alias("end")))
     need = F.when(~F.col("alike"), F.struct("gram", "start", "shape"))
     return met.groupBy("row").agg(F.collect_list(span).alias("spans"), F.collect_list(need).alias("needs"))
 
@@ -261,7 +262,7 @@ def _compared(pending: DataFrame, length: int, gram: int) -> DataFrame:
                 keys, rows, starts, data = [], [], [], []
                 for row, text, needs in zip(part.column(0).to_pylist(), bytes_of(part), part.column(2).to_pylist(), strict=True):
                     for need in needs:
-                        off, n = divmod(need["shape"], 256)
+                        off, n = divmod(need["shape"], _SHAPE)
                         a = need["start"]
                         g = a + off
                         # windows with at most half of what surrounds the gram before it share what follows, else what precedes
@@ -315,8 +316,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null counts as empty. Rows that repeat an id and a text are documents of their own, so all their windows repeat.
     Rows are told apart by a hash of id and text together with the id. Texts cross the network once, those with
-    segments to compare twice; a table in the shared folder lies between.
+    segments to compare twice; a table in the shared folder lies between. length is gram bytes at least, and less than
+    32,768 more.
     """
+    if not 0 <= length - gram < _SHAPE - 1:
+        raise ValueError(f"a length of {length} with grams of {gram} bytes")
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

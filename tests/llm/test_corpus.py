@@ -139,6 +139,19 @@ def test_suffix_dedup_of_shared_passages(spark):
     assert got == dict(enumerate(plain_repeats([t.encode() for t in texts])))
 
 
+@pytest.mark.parametrize("length", [90, 400])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    passage = word(900)
+    texts = [word(300) + passage + word(50), word(500) + passage[:-20], passage[100:600] + word(200), passage, word(700)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(d, length=length)).collect()}
+    assert got == dict(enumerate(plain_repeats([t.encode() for t in texts], length)))
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(d, length=50)
+
+
 def test_blind_trie_and_quicksort():
     rng = random.Random(8)
     strings = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)]
@@ -221,6 +234,39 @@ def test_flow_is_least_cost():
     assert mixing.targets({}) == {}
 
 
+def test_mix_of_overlapping_sources(spark, none):
+    """Totals against the smallest cut over all sets of sources, which is the most that any routing can give."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    for trial in range(4):
+        choices = [["a"], ["b"], ["c"], ["a", "b"], ["b", "a", "b"], ["c", None, "c"], [None], ["a", "b", "c"], [], None]
+        rows = [(k, rng.choice(choices), rng.randrange(0, 40) if trial else 5) for k in range(120)] + [(3, ["a"], 7), (None, ["b", "c"], 9)]
+        d = spark.createDataFrame(rows, "doc_id long, members array<string>, size int").withColumns({c: F.lit(c) for c in ("id", "key", "part", "edge", "before")})
+        done, sizes, aims = mixing.mix(d, F.col("members"), F.col("size"))
+        got = done.collect()
+        assert sorted(str((r.doc_id, r.members, r["size"])) for r in got) == sorted(str((i, sorted(set(m or []), key=lambda s: (s is None, s or "")), n)) for i, m, n in rows)
+        assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+        supply = Counter()
+        for _, m, n in rows:
+            supply[frozenset(m or [])] += n
+        assert sizes == {s: sum(n for p, n in supply.items() if s in p) for s in sizes} and set(sizes) == {"a", "b", "c", None}
+        quota = {s: int(t) for s, t in aims.items()}
+
+        def most(times, supply=supply, quota=quota):
+            cuts = [c for k in range(5) for c in combinations(quota, k)]
+            return min(sum(quota[s] for s in c) + sum(times * n for p, n in supply.items() if not p <= set(c)) for c in cuts)
+
+        given = Counter()
+        for r in got:
+            given[frozenset(r.members)] += r.taken
+        assert sum(given.values()) == most(2)
+        assert sum(max(0, given[p] - supply[p]) for p in supply) == most(2) - most(1)  # least repetition
+        assert sorted(map(str, mixing.mix(d, F.col("members"), F.col("size"))[0].collect())) == sorted(map(str, got))
+
+
 def test_line_dedup_against_sql(docs, none):
     named = docs.dropDuplicates(["doc_id"])
     con = duckdb.connect()

@@ -103,6 +103,37 @@ def test_quality(docs, rows, none):
         quality.measures(docs.withColumn("script", F.lit(1)), PIECES)
 
 
+def test_quality_measures_of_single_words(docs, rows):
+    """Fertility, byte share, entropy and verdict from the library's own cuts, word by word."""
+    import math
+    import unicodedata
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = []
+    for i, text, lang, _ in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        pieces = Counter(p for w in words for p in model.encode(w))
+        n, chars = sum(pieces.values()), sum(map(len, words))
+        entropy = abs(sum(c / n * math.log2(c / n) for c in pieces.values())) if n else None
+        fallback = sum(c for p, c in pieces.items() if model.is_byte(p)) / n if n else None
+        scripts = Counter(next((s for s in ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "CJK", "HIRAGANA", "KATAKANA") if unicodedata.name(c, "").startswith(s)), "") for c in text if c.isalpha())
+        del scripts[""]
+        script = max(scripts, key=scripts.get).capitalize() if scripts else "other"
+        three = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {k + d for k in range(len(words) - 2) if three[tuple(words[k : k + 3])] > 1 for d in range(3)}
+        low, high, most, least = quality.BANDS[lang if lang in quality.BANDS else script]
+        base = len(words) < 50 or 100 * len(again) > 50 * len(words)
+        kept = not base and low <= chars / n <= high and fallback <= most and entropy >= least * min(1, math.log2(n) / math.log2(100))
+        want.append((i, n, n and round(chars / n, 6), n and round(fallback, 6), n and round(entropy, 6), kept))
+    got = quality.verdicts(docs, PIECES).collect()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.n_tokens and round(r.chars_per_token, 6), r.n_tokens and round(r.byte_share, 6), r.n_tokens and abs(round(r.entropy, 6)), r.kept)) for r in got)
+    with pytest.raises(ValueError):
+        quality.verdicts(docs.withColumn("kept", F.lit(1)), PIECES)
+
+
 def test_quality_keeps_clean_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     judged = quality.verdicts(d, PIECES).where("not base_failed")
