@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandframe.operators._folders import shared_folder
 
@@ -73,6 +75,24 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def bit_map(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A map of 2 ** bits bits, those set that the leading bits of the hashes (longs) name.
+
+    Its size is fixed however many rows there are, so it may go to every executor; a fuller map only lets more by.
+    """
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    words = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("own")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("own").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be among those that the map was made of."""
+    bit = hashes >> np.uint64(64 - 6 - (len(known).bit_length() - 1))
+    return (known[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 _owner: list[tuple[str, Callable[[], None]]] = []
 
 

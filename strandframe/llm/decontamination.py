@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._common import bytes_of, claim, cut, map_batches, ship, slices
+from strandframe.llm._common import bit_map, bytes_of, claim, cut, in_map, map_batches, ship, slices
 
 #: Tokens in a window; the least share of an item's tokens that consistent windows of a document must cover, or the
 #: number of tokens that is enough whatever the share; windows of the benchmark that are sent to every executor at most
@@ -302,7 +302,6 @@ def _joined(rows: DataFrame, docs: DataFrame, window: int, cover: float, enough:
     fixed size, keeps most of the documents' windows at home. The pairs (key, row) that meet are verified.
     """
     spark = docs.sparkSession
-    shift = 64 - FILTER_BITS
     of_key = docs.schema["key"].dataType.simpleString()
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +314,7 @@ def _joined(rows: DataFrame, docs: DataFrame, window: int, cover: float, enough:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([o[1] for o in own], pa.int32()), pa.array(np.array([o[2] for o in own], np.uint64).view(np.int64))], ["row", "n", "h"])
 
     theirs = cut(rows.select("row", "item_text").mapInArrow(of_items, "row long, n int, h long"))
-    words = theirs.select(F.shiftrightunsigned("h", shift).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)  # at most this many rows were collected
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    bits = bit_map(theirs, "h", FILTER_BITS)
     sizes = sorted(r.n for r in theirs.select("n").distinct().collect())  # 1 to window
     sent = spark.sparkContext.broadcast(bits)
 
@@ -333,8 +330,7 @@ def _joined(rows: DataFrame, docs: DataFrame, window: int, cover: float, enough:
                 for n in sizes:
                     for h in hashes:
                         own = window_hashes(h, n)
-                        bit = own >> np.uint64(shift)
-                        hit = np.flatnonzero(((known[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (owner[: len(own)] == owner[n - 1 : n - 1 + len(own)])) if len(own) else np.zeros(0, np.int64)
+                        hit = np.flatnonzero(in_map(known, own) & (owner[: len(own)] == owner[n - 1 : n - 1 + len(own)])) if len(own) else np.zeros(0, np.int64)
                         if len(hit):
                             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(owner[hit])), pa.array(np.full(len(hit), n, np.int32)), pa.array(own[hit].view(np.int64))], ["key", "n", "h"])
 
