@@ -274,13 +274,12 @@ def classes(docs: DataFrame, kind: Signature = FINGERPRINT, id_col: str = "doc_i
     columns are ignored.
     """
     sigs = cut(signatures(docs, kind, id_col, text_col))
-    return in_classes(sigs, links(sigs.select("sig").distinct(), kind), id_col)
+    return in_classes(sigs, connected_components(links(sigs.select("sig").distinct(), kind), "a", "b"), id_col)
 
 
-def in_classes(sigs: DataFrame, linked_sigs: DataFrame, id_col: str) -> DataFrame:
-    """(id, sig, component_id) for every row (id, sig), by the components of the links (a, b)."""
+def in_classes(sigs: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """(id, sig, component_id) for every row (id, sig), by the components (node, root) of signatures."""
     distinct = sigs.groupBy("sig").agg(F.min("id").alias("first"))
-    roots = connected_components(linked_sigs, "a", "b")
     placed = distinct.join(roots, distinct["sig"] == roots["node"], "left").select(distinct["sig"], "first", F.coalesce("root", distinct["sig"]).alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     names = cut(placed.join(named, "root").select("sig", "component_id"))
@@ -306,12 +305,12 @@ def keep_one(docs: DataFrame, kind: Signature = NEAR_COPIES, id_col: str = "doc_
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([signature(t, kind) for t in bytes_of(batch)], pa.binary())], ["id", "row", "sig"])
 
     sigs = cut(map_batches(keyed, run, f"id {of_id}, row long, sig binary"))
-    return firsts(docs, sigs, links(sigs.select("sig").distinct(), kind), id_col, text_col)
+    return firsts(docs, sigs, connected_components(links(sigs.select("sig").distinct(), kind), "a", "b"), id_col, text_col)
 
 
-def firsts(docs: DataFrame, sigs: DataFrame, linked_sigs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each class of sigs (id, row, sig) by the links, the first by (id, row), and all null ids."""
-    roots = connected_components(linked_sigs, "a", "b")
+def firsts(docs: DataFrame, sigs: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each class of sigs (id, row, sig) by the components (node, root), the first by (id, row),
+    and all null ids."""
     first = sigs.where("id is not null").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("first"))
     placed = first.join(roots, first["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "first")
     stay = cut(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row")))
