@@ -71,10 +71,10 @@ def https(c: Column) -> Column:
 
 
 def attributes(c: Column) -> Column:
-    """Map of 'k=v;' or 'k "v";' attributes, URL-decoded; a part that is neither is an error."""
+    """Map of 'k=v;' or 'k "v";' attributes, percent-decoded (a + stays); a part that is neither is an error."""
     parts = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda p: p != "")
     key = lambda p: F.when(p.contains("="), F.substring_index(p, "=", 1)).otherwise(F.substring_index(p, " ", 1))
-    value = lambda p: F.when(p.contains("="), F.url_decode(F.substring(p, F.locate("=", p) + 1, F.length(p)))).otherwise(F.regexp_extract(p, r'"([^"]*)"', 1))
+    value = lambda p: F.when(p.contains("="), F.url_decode(F.replace(F.substring(p, F.locate("=", p) + 1, F.length(p)), F.lit("+"), F.lit("%2B")))).otherwise(F.regexp_extract(p, r'"([^"]*)"', 1))
     bad = F.exists(parts, lambda p: ~p.contains("=") & ~p.rlike(r'^\S+ "[^"]*"$'))
     return F.when(bad, F.raise_error(F.concat(F.lit("bad attributes: "), c))).otherwise(F.map_from_entries(F.transform(parts, lambda p: F.struct(key(p), value(p)))))
 

@@ -103,23 +103,30 @@ def pattern_intervals(table: DataFrame, patterns: Sequence[str], overlap: int =
     """(contig, start, end): merged matches of regular expressions in chunks.
 
     Spark has no function for all offsets of a pattern, so chunks go through Arrow in batches. Runs of single symbols
-    join over chunk edges when merged; other patterns need chunks that overlap by their longest match.
+    join over chunk edges when merged; for patterns with a least length each chunk is searched together with the first
+    `overlap` symbols of the next one, and what starts in the chunk itself counts. Chunks must be of that size at least.
     """
     found = [re.compile(p) for p in patterns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contigs, starts, ends = [], [], []
-            for contig, at, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for contig, at, seq, more in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 for p in found:
-                    for m in p.finditer(seq or ""):
+                    for m in p.finditer((seq or "") + (more or "")):
+                        if m.start() >= len(seq or ""):
+                            break
                         contigs.append(contig)
                         starts.append(at + m.start())
                         ends.append(at + m.end())
             yield pa.RecordBatch.from_arrays([pa.array(contigs, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["contig", "start", "end"])
 
     kind = table.schema["contig"].dataType.simpleString()
-    return iv.merge(table.select("contig", "chunk_start", "seq").mapInArrow(run, f"contig {kind}, start long, end long"))
+    own = table.select("contig", "chunk_start", "seq", F.lit("").alias("more"))
+    if overlap:
+        following = table.select("contig", F.col("chunk_start").alias("_at"), F.substring("seq", 1, overlap).alias("more"))
+        own = table.withColumn("_at", F.col("chunk_start") + F.length("seq")).join(following, ["contig", "_at"], "left").select("contig", "chunk_start", "seq", "more")
+    return iv.merge(own.mapInArrow(run, f"contig {kind}, start long, end long"))
 
 
 def non_acgt(table: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def non_acgt(table: DataFrame) -> DataFrame:
 
 def low_complexity(table: DataFrame) -> DataFrame:
     """One base ten times or more, two bases ten times, three bases seven times."""
-    return pattern_intervals(table, [r"([ACGT])\1{9,}", r"([ACGT]{2})\1{9,}", r"([ACGT]{3})\1{6,}"])
+    return pattern_intervals(table, [r"([ACGT])\1{9,}", r"([ACGT]{2})\1{9,}", r"([ACGT]{3})\1{6,}"], overlap=21)
 
 
 def ordered_segments(segments: DataFrame, keys: Sequence[str] = ("transcript_id",)) -> DataFrame:

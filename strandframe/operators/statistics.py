@@ -45,7 +45,7 @@ def tertiles(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     cuts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(v.alias("_v")).where("size(_v) > 0")
     at = lambda k: F.element_at("_v", (F.floor(F.size("_v") * k / 3)).cast("int"))
     cuts = cuts.select(*keys, F.when(F.size("_v") >= 3, at(1)).otherwise(F.element_at("_v", -1)).alias("_t1"), F.when(F.size("_v") >= 2, at(2)).otherwise(F.element_at("_v", -1)).alias("_t2"))
-    joined = df.join(F.broadcast(cuts), list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))  # one row
+    joined = df.join(cuts, list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))  # one row
     return joined.withColumn("stratum", F.when(F.col(value).isNull(), "unknown").when(F.col(value) <= F.col("_t1"), "low").when(F.col(value) <= F.col("_t2"), "middle").otherwise("high")).drop("_t1", "_t2")
 
 
@@ -118,7 +118,7 @@ def quadratic(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFr
     """(keys, n, intercept, linear, quadratic, r2): y on centred x and its square; five complete rows at least."""
     done = _complete(df, x, y, keys)
     middle = done.groupBy(*keys).agg(F.avg(x).alias("_m"))
-    joined = done.join(F.broadcast(middle), list(keys)) if keys else done.crossJoin(F.broadcast(middle))  # one row a group
+    joined = done.join(middle, list(keys)) if keys else done.crossJoin(F.broadcast(middle))  # one row
     u, v = F.col(x) - F.col("_m"), F.col(y)
     s = joined.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"), F.sum(u * u * u * u).alias("s4"), F.sum(v).alias("t0"), F.sum(u * v).alias("t1"), F.sum(u * u * v).alias("t2"), F.sum(v * v).alias("vv")).where("n >= 5")
     n, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("n", "s2", "s3", "s4", "t0", "t1", "t2"))
@@ -138,7 +138,7 @@ def leave_one_out(df: DataFrame, x: str, y: str, unit: str, keys: Sequence[str]
     per = sums(df, x, y, [*keys, unit])
     names = ("n", "sx", "sy", "sxx", "sxy", "syy")
     whole = per.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in names])
-    joined = per.join(F.broadcast(whole), list(keys)) if keys else per.crossJoin(F.broadcast(whole))  # one row a group
+    joined = per.join(whole, list(keys)) if keys else per.crossJoin(F.broadcast(whole))  # one row
     rest = {c: F.col(f"t_{c}") - F.col(c) for c in names}
     fit = _line(*rest.values(), F.lit(2))
     fits = joined.where(rest["n"] >= 3).select(*keys, fit["slope"].alias("effect")).where("effect is not null")

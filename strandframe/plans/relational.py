@@ -39,7 +39,7 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("scalar_attributes", "select p_partkey, p_name as name, p_brand as brand from part")
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    text = F.concat(F.lit("ID="), F.url_encode("p_name"), F.lit('; brand "'), F.col("p_brand"), F.lit('";'))
+    text = F.concat(F.lit("ID="), F.replace(F.url_encode("p_name"), F.lit("+"), F.lit("%20")), F.lit('; brand "'), F.col("p_brand"), F.lit('";'))
     a = sc.attributes(text)
     return p.select("p_partkey", a["ID"].alias("name"), a["brand"].alias("brand"))
 

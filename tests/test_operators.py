@@ -221,3 +221,18 @@ def test_streaming_windows(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("tumbling_test").collect()) == [2, 3]
     assert sorted(r.n for r in wi.sessions(e, "10 minutes").collect()) == [1, 2, 2]
+
+
+def test_low_complexity_over_chunk_edges(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACGT") for _ in range(50)) + "A" * 13 + "CGT" + "AC" * 12 + "GGT" + "ACG" * 9 + "TT" + "G" * 70 + "CATG"
+    whole = sq.low_complexity(spark.createDataFrame([("c", 0, text)], "contig string, chunk_start long, seq string")).collect()
+    for size in (21, 25, 40):
+        parts = [("c", i, text[i : i + size]) for i in range(0, len(text), size)]
+        got = sq.low_complexity(spark.createDataFrame(parts, "contig string, chunk_start long, seq string")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(whole) >= 4
+
+
+def test_plus_signs_in_attributes(spark):
+    d = spark.createDataFrame([("Note=a+b%2Bc%20d",)], "a string")
+    assert d.select(sc.attributes(F.col("a")).alias("m")).first().m == {"Note": "a+b+c d"}
