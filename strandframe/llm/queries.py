@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import decontamination, license_scan, line_dedup, lm_scoring, mixing, pii, quality, simhash, suffix_dedup, token_counts, vector_neighbours
+from strandframe.llm import decontamination, license_scan, line_dedup, lm_scoring, mixing, pii, prefix_trie, quality, simhash, suffix_dedup, token_counts, vector_neighbours, whitening
 from strandframe.llm._common import table
 
 OVER = 1024
@@ -62,13 +62,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "script")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_token_counts, op2_license_scan, op3_simhash, op4_suffix_dedup, op5_lm_scoring, op6_pii_surrogates, op7_source_mix, op8_line_dedup, op9_decontamination, op10_quality_rules)
-    own += (op13_vector_neighbours,)
+    own += (op11_prefix_trie, op12_whitening, op13_vector_neighbours,)
     return {f.__name__: f for f in own}
 
 
@@ -77,5 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_lm_scoring": lm_scoring.SCORES_SQL,
         "op7_source_mix": mixing.MIX_SQL.format(docs="documents", more=""),
         "op8_line_dedup": line_dedup.REPEATS_SQL,
+        "op11_prefix_trie": prefix_trie.TRIE_SQL,
         "op13_vector_neighbours": vector_neighbours.ALL_PAIRS_SQL,
     }

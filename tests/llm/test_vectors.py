@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from strandframe.llm import vector_neighbours as nb
-from strandframe.llm.queries import op13_vector_neighbours
+from strandframe.llm import whitening as wh
+from strandframe.llm.queries import op12_whitening, op13_vector_neighbours
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,78 @@ def test_query_agrees_with_sql(spark):
     con.sql(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = con.sql(nb.ALL_PAIRS_SQL).fetchall()
     assert sorted(map(tuple, op13_vector_neighbours(spark, SF).collect())) == sorted(want) and want
+
+
+def plain_whitening(rows, k=16):
+    """(vec_id, component) -> the other columns, by whole numbers and fractions of numpy."""
+    x = [(i, [math.floor(64 * c) + 1000000 for c in v]) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    fit = sorted({tuple(v) for _, v in x})
+    n, d = len(fit), len(fit[0])
+    s = [sum(v[j] for v in fit) for j in range(d)]
+    centred = [[n * v[j] - s[j] for j in range(d)] for v in fit]
+    scatter = [[sum(v[i] * v[j] for v in centred) for j in range(d)] for i in range(d)]
+    cov = np.array([[scatter[i][j] / n**3 for j in range(d)] for i in range(d)])
+    e, basis = np.linalg.eigh(cov)
+    e, basis = e[::-1][:k], basis[:, ::-1][:, :k]
+    out = []
+    for i, v in x:
+        dev = [n * v[j] - s[j] for j in range(d)]
+        w = (np.array(dev, float) / n) @ basis
+        out += [(i, c + 1, n, sum(y * y for y in dev), w[c] / math.sqrt(e[c]) if e[c] > 1e-9 else None, e[c] / np.trace(cov)) for c in range(len(e))]
+    return out
+
+
+def test_whitening_agrees_with_whole_numbers(spark):
+    rng = np.random.default_rng(5)
+    mixed = rng.standard_normal((300, 20)) @ rng.standard_normal((20, 20)) + 1e3
+    rows = [(i, v.tolist()) for i, v in enumerate(mixed)]
+    rows += [(7, rows[7][1]), (None, rows[8][1]), (400, None), (401, [None] + [1.0] * 19), (402, [float("nan")] * 20), (403, [float("-inf")] * 20), (404, [])]
+    got = wh.whiten(spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, x int, n int").repartition(5)).collect()
+    want = plain_whitening(rows)
+    key = lambda r: (str(r[0]), r[1], r[3])
+    got.sort(key=key)
+    want.sort(key=key)
+    assert [tuple(r)[:4] for r in got] == [r[:4] for r in want] and len(got) == 302 * 16
+    signs = {}
+    for g, w in zip(got, want, strict=True):
+        sign = signs.setdefault(g.component, math.copysign(1, g.whitened * w[4]))
+        assert g.whitened == pytest.approx(sign * w[4], abs=1e-8)
+        assert g.explained == pytest.approx(w[5], rel=1e-9)
+        assert g.identity_error < 1e-9
+
+
+def test_whitening_without_variance_and_without_rows(spark):
+    of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    flat = wh.whiten(of([(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()
+    assert [(r.vec_id, r.component, r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in flat] == [(i, c, 1, 0, None, None, None) for i in (1, 2) for c in (1, 2)]
+    line = wh.whiten(of([(1, [1.0, 2.0]), (2, [3.0, 2.0])])).collect()
+    assert {(r.component, None if r.whitened is None else round(abs(r.whitened), 9), r.explained) for r in line} == {(1, 1.0, 1.0), (2, None, 0.0)}
+    assert all(r.identity_error < 1e-12 for r in line)
+    empty = wh.whiten(of([(1, None), (2, [])]))
+    assert empty.count() == 0 and empty.columns[0] == "vec_id"
+    with pytest.raises(ValueError):
+        wh.whiten(of([(1, [1.0]), (2, [1.0, 2.0])]))
+
+
+def test_remainders_and_large_moments():
+    ps = wh.primes(10**40)
+    assert len(set(ps)) == len(ps) and math.prod(ps) > 2 * 10**40
+    for x in (0, 1, -1, 10**40, -(10**40), 123456789**4):
+        assert wh.remaindered({p: x % p for p in ps}) == x
+    rows = np.random.default_rng(1).integers(-(1 << 61), 1 << 61, (5000, 3))
+    for p in ps[:2]:
+        assert wh.residue_gram(rows, p).tolist() == (np.array([[sum(int(a) * int(b) for a, b in zip(rows[:, i], rows[:, j])) % p for j in range(3)] for i in range(3)])).tolist()
+    m = wh.Moments(3 << 40, [(3 << 40) * 10**6 + 5] * 2, [[0, 0], [0, 0]])
+    dev = wh.deviations(np.array([[10**6 + 10**6, 10**6 - 3]]), m)
+    assert dev.tolist() == [[(3 << 40) * 10**6 - 5, -(9 << 40) - 5]] and wh.squared(dev) == [None]
+    assert wh.squared(np.array([[3, 4]])) == [25]
+
+
+def test_whitening_query(spark):
+    got = op12_whitening(spark, SF).collect()
+    vectors = [(r.vec_id, [float(c) for c in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want = {(r[0], r[1]): r for r in plain_whitening(vectors)}
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r.vec_id, r.component]
+        assert (r.n, r.deviation) == w[2:4] and abs(r.whitened) == pytest.approx(abs(w[4]), abs=1e-7) and r.explained == pytest.approx(w[5], rel=1e-9)
