@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from importlib import import_module
 
-    for module in ("intervals", "alignment", "genome", "statistics", "relational", "ledger", "theory", "streams", "catalog"):
+    for module in ("intervals", "alignment", "genome", "statistics", "relational", "ledger", "theory", "streams", "catalog", "files"):
         import_module(f"strandframe.plans.{module}")
 
 
