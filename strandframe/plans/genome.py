@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.operators import intervals as iv
 from strandframe.operators import population as po
 from strandframe.operators import reads as rd
+from strandframe.operators import resampling
 from strandframe.operators import sequence as sq
 from strandframe.plans import _tables as t
 from strandframe.plans._tables import read
@@ -262,3 +263,13 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = read(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("value") / 5).cast("long").alias("depth")).agg(F.count("*").alias("count"))
     return rd.spectrum_heterozygosity(h, 21, ["event_type"])
+
+
+@register("psmc_sampled_records")
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of 100 replicates of records drawn from blocks of the documents' binned sequences."""
+    bins = psmcfa(spark, sf_dir).withColumn("contig", F.col("contig").cast("string"))
+    blocks = bins.groupBy("contig", (F.floor(F.col("bin") / 50) * 50).alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "symbol"))), lambda s: s["symbol"]), "").alias("symbols"))
+    units = resampling.numbered(blocks.withColumn("end", F.col("start") + F.length("symbols")).withColumn("_all", F.lit(0)), ["_all"], ["contig", "start"], "unit").drop("_all").checkpoint()
+    records = resampling.sampled_records(resampling.own_streams(spark, 7, units.count(), 100), units)
+    return records.groupBy("replicate").agg(F.count("*").alias("records"), F.sum(F.length("symbols")).alias("bins"), F.sum(F.length("name")).alias("name_length"))

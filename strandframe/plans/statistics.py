@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.operators import models, reads, resampling
 from strandframe.operators import statistics as st
 from strandframe.plans._tables import read
 from strandframe.plans.registry import register
@@ -171,3 +172,61 @@ def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = st.ols(_orders(spark, sf_dir), "x", "y", ["level"])
     return fit.select("level", "effect", st.two_sided_p("z").alias("p"))
+
+
+_WITHIN = """w as (select *, {x1} - avg({x1}) over g as u1, {x2} - avg({x2}) over g as u2, y - avg(y) over g as v from o window g as (partition by {keys}level)),
+s as (select {keys}count(*) as n, count(distinct level) as levels, sum(u1 * u1) as a, sum(u1 * u2) as b, sum(u2 * u2) as d, sum(u1 * v) as e, sum(u2 * v) as f, sum(v * v) as vv, var_pop(y) * count(*) as tss, min(level) as first from w {by}),
+c as (select *, (e * d - b * f) / (a * d - b * b) as c1, (a * f - b * e) / (a * d - b * b) as c2 from s)"""
+
+
+@register(
+    "stat_factor_model",
+    f"""with o as (select l_linestatus as k, l_returnflag as level, l_quantity as x1, l_discount as x2, l_extendedprice as y from lineitem), {_WITHIN.format(x1="x1", x2="x2", keys="k, ", by="group by k")},
+m as (select o.k, avg(y) as my, avg(x1) as m1, avg(x2) as m2 from o join c on o.k = c.k and o.level = c.first group by o.k)
+select k, n, levels + 2 as columns, round(c1, 4) as effect, round(sqrt((vv - c1 * e - c2 * f) / (n - levels - 2) * d / (a * d - b * b)), 4) as se, round(my - c1 * m1 - c2 * m2, 2) as intercept, round(1 - (vv - c1 * e - c2 * f) / tss, 8) as r2, 'ok' as status from c join m using (k)""",
+)
+def factor_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("k"), F.col("l_returnflag").alias("level"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_extendedprice").alias("y"))
+    fit = models.factor_model(li, "y", ["x1", "x2"], ["level"], ["k"])
+    return fit.select("k", "n", F.col("columns").cast("long").alias("columns"), F.round("effect", 4).alias("effect"), F.round("se", 4).alias("se"), F.round("intercept", 2).alias("intercept"), F.round("r2", 8).alias("r2"), "status")
+
+
+@register(
+    "stat_quadratic_fixed_effects",
+    f"""with z as (select o_orderpriority as level, o_orderkey / 1000.0::double as x, log10(o_totalprice) as y from orders), o as (select level, y, x - avg(x) over () as l1, (x - avg(x) over ()) ** 2 as l2 from z), {_WITHIN.format(x1="l1", x2="l2", keys="", by="")}
+select n, round(c2, 8) as effect, round(1 - (vv - c1 * e - c2 * f) / tss, 8) as r2, 'ok' as status from c""",
+)
+def quadratic_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("level"), (F.col("o_orderkey") / 1000.0).alias("x"), F.log10("o_totalprice").alias("y"))
+    return models.quadratic_model(o, "x", "y", ["level"]).select("n", F.round("effect", 8).alias("effect"), F.round("r2", 8).alias("r2"), "status")
+
+
+@register("stat_stratified_bootstrap")
+def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    effects = models.stratified_bootstrap(_orders(spark, sf_dir), "y", ["x"], ["level"], ["o_orderkey"], 2024, 50)
+    return _rounded(models.bootstrap_interval(effects), "ci_low", "ci_high")
+
+
+@register("stat_ratio_bootstrap")
+def ratio_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.floor(F.col("l_partkey") / 100).alias("block")).agg(F.count_if(F.col("l_returnflag") == "R").alias("num"), F.sum(F.col("l_quantity").cast("long")).alias("den"))
+    return _rounded(resampling.bootstrap_ratio(blocks, 200, 17, ["l_suppkey", "block"]), "estimate", "ci_low", "ci_high", "standard_error", digits=9)
+
+
+_CURVES = "r as (select l_suppkey % 50 as replicate, l_partkey % 16 as interval, avg(l_quantity) / 50 as t, avg(l_extendedprice) / 1e4 as l, 0.05 + (l_suppkey % 50) / 1000.0::double as theta from lineitem group by 1, 2, 5), p as (select l_partkey % 16 as interval, avg(l_quantity) / 50 as t, avg(l_extendedprice) / 1e4 as l, 0.07::double as theta from lineitem group by 1)"
+_SPREAD = ", ".join(f"round(min({c}), 6) as {n}_min, round(list_sort(list({c}))[round_even((count(*) - 1) * 0.025, 0)::int + 1], 6) as {n}_q025, round(median({c}), 6) as {n}_median, round(list_sort(list({c}))[round_even((count(*) - 1) * 0.975, 0)::int + 1], 6) as {n}_q975, round(max({c}), 6) as {n}_max" for c, n in (("theta", "replicate_theta"), ("top", "top"), ("oldest", "oldest")))
+
+
+@register(
+    "psmc_replicate_audit",
+    f"""with {_CURVES}, e as (select replicate, max(theta) as theta, max(l) as top, max_by(l, interval) as oldest, count(*) as n from r group by 1), m as (select count(*) as replicates, min(n) as fewest_intervals, max(n) as most_intervals, {_SPREAD} from e),
+o as (select max(theta) as theta, count(*) as intervals, round(min(t), 6) as time_from, round(max(t), 6) as time_to, round(min(l), 6) as lambda_min, round(max(l), 6) as lambda_max, round(min_by(l, interval), 6) as lambda_recent, round(max_by(l, interval), 6) as lambda_oldest, min_by(interval, l) as interval_of_min, max_by(interval, l) as interval_of_max, count(distinct l) as distinct_lambdas from p)
+select *, round(theta / replicate_theta_median, 6) as ratio, theta < replicate_theta_min or theta > replicate_theta_max as outside from o, m""",
+)
+def replicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    curve = [(F.avg("l_quantity") / 50).alias("time"), (F.avg("l_extendedprice") / 1e4).alias("lambda")]
+    each = li.groupBy((F.col("l_suppkey") % 50).alias("replicate"), (F.col("l_partkey") % 16).alias("interval")).agg(*curve).withColumn("theta", 0.05 + F.col("replicate") / 1000)
+    primary = li.groupBy((F.col("l_partkey") % 16).alias("interval")).agg(*curve).withColumn("theta", F.lit(0.07))
+    out = reads.audit_trajectories(primary, each)
+    return _rounded(out, *(c for c, kind in out.dtypes if kind == "double" and c != "theta"))
