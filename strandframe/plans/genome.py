@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.operators import denominators as dn
 from strandframe.operators import intervals as iv
+from strandframe.operators import order
 from strandframe.operators import population as po
 from strandframe.operators import reads as rd
 from strandframe.operators import resampling
@@ -273,3 +275,64 @@ def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = resampling.numbered(blocks.withColumn("end", F.col("start") + F.length("symbols")).withColumn("_all", F.lit(0)), ["_all"], ["contig", "start"], "unit").drop("_all").checkpoint()
     records = resampling.sampled_records(resampling.own_streams(spark, 7, units.count(), 100), units)
     return records.groupBy("replicate").agg(F.count("*").alias("records"), F.sum(F.length("symbols")).alias("bins"), F.sum(F.length("name")).alias("name_length"))
+
+
+_TILES = f"""{_SEQ}, t as (select doc_id, seq, unnest(range(0, length(seq) // 50)) as k from s),
+r as (select doc_id, k, 50 * k as pos, seq[50 * k + 1] as base, seq[50 * k + 11] as inner_base, k % 4 as kind, case when k % 4 in (0, 3) then seq[50 * k + 1:50 * k + 30] else seq[50 * k + 1] end as span, list_transform(range(5), lambda j: (k * 7 + doc_id + j) % 9) as x from t),
+j as (select *, length(span) - length(replace(span, 'N', '')) as n_n, len(list_filter(x, lambda v: v <> 8)) as called, len(list_filter(x, lambda v: v < 3)) as ones, case when k % 11 = 0 then 'filtered' when base = 'N' then 'ambiguous_reference' when len(list_filter(x, lambda v: v <> 8)) < 5 then 'insufficient_called_chromosomes' end as reason from r)"""
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records every 50 bases of the documents' sequences: blocks of 30 bases, variants, invariant sites; and fourfold positions."""
+    s = _sequences(spark, sf_dir).withColumn("k", F.explode(F.expr("sequence(0L, greatest(length(seq) div 50, 1) - 1L)"))).where("length(seq) >= 50")
+    k, base = F.col("k"), F.expr("substring(seq, int(50 * k) + 1, 1)")
+    span = (k % 4).isin(0, 3)
+    x = lambda j: (k * 7 + F.col("doc_id") + j) % 9
+    call = lambda j: F.when(x(j) == 8, ".").when((k % 4 == 1) & (x(j) < 3), "1").otherwise("0")
+    none = F.array().cast("array<string>")
+    rows = s.select(
+        F.col("doc_id").cast("string").alias("contig"), (50 * k).alias("pos0"), base.alias("ref"), F.when(span, F.array(F.lit("<NON_REF>"))).when(k % 4 == 1, F.array(F.lit("A"))).otherwise(none).alias("alts"),
+        F.when(k % 11 == 0, F.array(F.lit("low"))).otherwise(none).alias("filters"), F.when(span, F.create_map(F.lit("END"), (50 * k + 30).cast("string"))).otherwise(F.create_map().cast("map<string,string>")).alias("info"),
+        F.create_map(*[c for j in range(5) for c in (F.lit(f"s{j}"), call(j))]).alias("genotypes"),
+    )
+    four = rows.where("pos0 % 150 = 0").select("contig", F.explode(F.array("pos0", F.col("pos0") + 10)).alias("pos"))
+    return rows, four
+
+
+@register(
+    "diversity_reference_blocks",
+    f"""with {_TILES}, f as (select *, case when k % 3 = 0 and reason is null then 1 else 0 end as four, case when reason is null and kind = 1 then 1 - (ones * (ones - 1) + (5 - ones) * (4 - ones)) / 20.0::double end as d from j)
+select doc_id::varchar as contig, pos // 1000 as block, round(coalesce(sum(d), 0), 9) as num, sum(case when reason is null then length(span) - n_n else 0 end)::double as den,
+ round(coalesce(sum(case when four = 1 and base in ('G', 'C') then d end), 0), 9) as s_num, sum(four * ((base in ('G', 'C'))::int + case when kind in (0, 3) then (inner_base in ('G', 'C'))::int else 0 end))::double as s_den,
+ round(coalesce(sum(case when four = 1 and base not in ('G', 'C') then d end), 0), 9) as w_num, sum(four * ((base not in ('G', 'C'))::int + case when kind in (0, 3) then (inner_base not in ('G', 'C'))::int else 0 end))::double as w_den from f group by 1, 2""",
+)
+def reference_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, four = _tiles(spark, sf_dir)
+    ref = _chunks(spark, sf_dir, 1000).withColumn("contig", F.col("contig").cast("string"))
+    inside = dn.explicit_intervals(records, "gvcf")
+    found = dn.judged(records, inside, ref, [f"s{j}" for j in range(5)], "haploid", "gvcf", 1000)
+    out = dn.block_sums(found, inside, ref, four, 1000, 1000)
+    return out.withColumns({c: F.round(c, 9) for c in ("num", "s_num", "w_num")})
+
+
+@register("diversity_exclusions", f"with {_TILES} select reason, count(*) as records from j where reason is not null group by 1")
+def block_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = _tiles(spark, sf_dir)
+    ref = _chunks(spark, sf_dir, 1000).withColumn("contig", F.col("contig").cast("string"))
+    return dn.exclusions(records, dn.judged(records, dn.explicit_intervals(records, "gvcf"), ref, [f"s{j}" for j in range(5)], "haploid", "gvcf", 1000))
+
+
+@register("diversity_sample_summary", f"with {_TILES}, u as (select kind, unnest(range(5)) as i, unnest(x) as v from j) select 's' || i as sample, count(*) as records, count(*) filter (where v <> 8) as called, count(*) filter (where v = 8) as missing, 0::bigint as heterozygous, count(*) filter (where kind = 1 and v < 3) as nonreference from u group by 1")
+def block_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = _tiles(spark, sf_dir)
+    ref = _chunks(spark, sf_dir, 1000).withColumn("contig", F.col("contig").cast("string"))
+    samples = [f"s{j}" for j in range(5)]
+    return dn.sample_summary(dn.judged(records, dn.explicit_intervals(records, "gvcf"), ref, samples, "haploid", "gvcf", 1000), samples)
+
+
+@register("order_faults", "with e as (select row_number() over () as place, value from events), l as (select value, lag(value) over (order by place) as before from e) select count(*) filter (where value < before) as faults, count(*) filter (where value <= before) as strict_faults from l")
+def order_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the events' values fall, in the order of their file."""
+    e = read(spark, sf_dir, "events").select("value", F.lit("events").alias("file"), F.monotonically_increasing_id().alias("at"))
+    n = lambda strict, name: order.sort_faults(e, ["value"], ["file", "at"], strict).agg(F.count("*").alias(name))
+    return n(False, "faults").crossJoin(F.broadcast(n(True, "strict_faults")))  # one row
