@@ -16,6 +16,9 @@ from strandframe.operators._folders import shared_folder
 
 #: Bytes of text that one call of a batch function gets at most (a longer text comes alone).
 BATCH_BYTES = 3 << 20
+#: Bytes that Spark puts in an Arrow batch at most (a longer row comes alone): a task holds its batch on both sides.
+ARROW_BYTES = 8 << 20
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -25,7 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the folder the driver has it in."""
+    """Let Python workers import this package from the folder the driver has it in, and get batches of bounded bytes."""
+    if int(str(spark.conf.get(_ARROW_CONF)).rstrip("b")) not in range(1, ARROW_BYTES + 1):
+        spark.conf.set(_ARROW_CONF, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
