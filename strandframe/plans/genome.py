@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators import denominators as dn
 from strandframe.operators import intervals as iv
+from strandframe.operators import lift
 from strandframe.operators import order
 from strandframe.operators import population as po
 from strandframe.operators import reads as rd
@@ -336,3 +337,60 @@ def order_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("value", F.lit("events").alias("file"), F.monotonically_increasing_id().alias("at"))
     n = lambda strict, name: order.sort_faults(e, ["value"], ["file", "at"], strict).agg(F.count("*").alias(name))
     return n(False, "faults").crossJoin(F.broadcast(n(True, "strict_faults")))  # one row
+
+
+#: Of every 100 bases 39 are equal, one is changed, 20 equal, 5 lost, 35 equal, then three are new; what is left is equal.
+_TILE = "39=1X20=5D35=3I"
+
+
+def _walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records that align each document's sequence to one made of it, the other way round for odd ids; both as chunks."""
+    s = _sequences(spark, sf_dir).where("length(seq) > 0").withColumn("tiles", F.expr("length(seq) div 100"))
+    tile = lambda i: F.substring("seq", (i * 100 + 1).cast("int"), F.lit(100))
+    part = lambda i, a, n: F.substring(tile(i), F.lit(a), F.lit(n))
+    changed = lambda i: F.concat(part(i, 1, 39), F.translate(part(i, 40, 1), "ACGTN", "CGTAA"), part(i, 41, 20), part(i, 66, 35), F.lit("GGT"))
+    made = F.when(F.col("tiles") > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), changed), "")).otherwise("")
+    rest = F.length("seq") - F.col("tiles") * 100
+    cigar = F.concat(F.repeat(F.lit(_TILE), F.col("tiles").cast("int")), F.when(rest > 0, F.concat(rest.cast("string"), F.lit("="))).otherwise(""))
+    whole = s.withColumn("q", F.concat(made, F.substring(F.col("seq"), (F.col("tiles") * 100 + 1).cast("int"), rest.cast("int")))).withColumn("cigar", cigar)
+    odd = F.col("doc_id") % 2 == 1
+    whole = whole.withColumn("q", F.when(odd, sq.reverse_complement("q")).otherwise(F.col("q")))
+    n, m, zero = F.length("seq").cast("long"), F.length("q").cast("long"), F.lit(0).cast("long")
+    records = whole.select(
+        F.col("doc_id").alias("record_id"), F.concat(F.lit("q"), F.col("doc_id")).alias("query"), m.alias("query_length"), zero.alias("query_start"), m.alias("query_end"), F.when(odd, "-").otherwise("+").alias("strand"),
+        F.concat(F.lit("t"), F.col("doc_id")).alias("target"), n.alias("target_length"), zero.alias("target_start"), n.alias("target_end"), n.alias("matches"), n.alias("block"), F.lit(60).cast("long").alias("mapq"), "cigar",
+    )
+    chunk = lambda c, side: sq.chunks(whole.select(F.concat(F.lit(side), F.col("doc_id")).alias("contig"), c), c, size=1000)
+    return records, chunk("seq", "t"), chunk("q", "q")
+
+
+@register(
+    "align_verified_walk",
+    f"""with {_SEQ}, b as (select doc_id, length(seq) as n, length(seq) // 100 as k, unnest(range(length(seq))) as p, unnest(string_split(seq, '')) as base from s where length(seq) > 0),
+f as (select doc_id, p, base, p // 100 < k as tiled, p % 100 as o, (p < 100 or p >= n - 100) as edge, (p // 100 < k and p % 100 between 50 and 74) or (p // 100 < k and p % 100 >= 90) or (p >= 100 and p <= 100 * k + 10 and p % 100 <= 10) as flank from b),
+c as (select *, not (tiled and o between 60 and 64) and base <> 'N' and not edge and not flank as open from f)
+select doc_id, count(*) filter (where open) as callable, count(*) filter (where open and tiled and o = 39) as alleles, coalesce(md5(string_agg(case when open and tiled and o = 39 then p || base || translate(base, 'ACGT', 'CGTA') end, ',' order by p)), md5('')) as digest from c group by doc_id having count(*) filter (where open) > 0""",
+)
+def verified_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, target, query = _walks(spark, sf_dir)
+    callable_, found, _ = lift.direct_alignment(records, target, query, 1000)
+    doc = F.substring(F.col("contig"), 2, 20).cast("long").alias("doc_id")
+    bases = iv.measure(callable_).select(doc, F.col("bases").alias("callable"))
+    text = F.concat(F.col("pos").cast("string"), "ref", "alt")
+    per = found.groupBy(doc).agg(F.count("*").alias("alleles"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"]), ",")).alias("digest"))
+    return bases.join(per, "doc_id", "left").select("doc_id", "callable", F.coalesce("alleles", F.lit(0)).alias("alleles"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
+
+
+@register(
+    "align_direct_check",
+    f"""with {_SEQ}, k as (select doc_id, seq, length(seq) // 100 as n, length(seq) + 0 as len, unnest(range(length(seq) // 100)) as i from s where length(seq) >= 100), x as (select doc_id, seq[100 * i + 40] as base from k)
+select strand, op, h2_base, alt, count(*) as n from (select case when doc_id % 2 = 1 then '-' else '+' end as strand, 'X' as op, base as h2_base, case when doc_id % 2 = 1 then translate(base, 'ACGTN', 'TGCAN') else base end as alt from x) group by all""",
+)
+def direct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every changed base as a variant of the made sequence, held against the one it was made of."""
+    records, target, query = _walks(spark, sf_dir)
+    shown = lift.with_bases(records, target, query, 1000).where("op = 'X'")
+    plus = lambda c: F.when(F.col("strand") == "-", sq.reverse_complement(c)).otherwise(F.col(c))
+    v = shown.select(F.col("query").alias("contig"), F.col("q_start").alias("pos"), plus("q_bases").alias("ref"), plus("t_bases").alias("alt"))
+    out = lift.direct_check(v, records, query, target, 1000).where("ref_matches_h1 and alt_matches_h2")
+    return out.groupBy("strand", "op", "h2_base", "alt").agg(F.count("*").alias("n"))

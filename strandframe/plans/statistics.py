@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.operators import models, reads, resampling
+from strandframe.operators import models, nonlinear, reads, resampling
 from strandframe.operators import statistics as st
 from strandframe.plans._tables import read
 from strandframe.plans.registry import register
@@ -230,3 +230,13 @@ def replicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     primary = li.groupBy((F.col("l_partkey") % 16).alias("interval")).agg(*curve).withColumn("theta", F.lit(0.07))
     out = reads.audit_trajectories(primary, each)
     return _rounded(out, *(c for c, kind in out.dtypes if kind == "double" and c != "theta"))
+
+
+@register("stat_saturation_models")
+def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices against quantities: a saturating curve with a slope, and a levelling power law within bounds."""
+    li = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", F.log10("l_quantity").alias("lq"), F.log10("l_extendedprice").alias("lp"))
+    slope = nonlinear.fit(li, "l_quantity", "l_extendedprice", nonlinear.saturating_with_slope, [1000.0, 1000.0, 1.0], ["l_returnflag"], steps=30)
+    power = nonlinear.fit(li, "lq", "lp", nonlinear.saturating_power, [3.0, 0.5, 1.0], ["l_returnflag"], ([-12, 0, 0.5], [6, 2, 16]), steps=30)
+    both = slope.withColumn("model", F.lit("slope")).unionByName(power.withColumn("model", F.lit("power")))
+    return both.select("l_returnflag", "model", "n", F.round("rss", 2).alias("rss"), (F.col("parameters")[1] > 0).alias("rising"))
