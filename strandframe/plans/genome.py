@@ -9,6 +9,7 @@ from strandframe.operators import denominators as dn
 from strandframe.operators import intervals as iv
 from strandframe.operators import lift
 from strandframe.operators import order
+from strandframe.operators import panel
 from strandframe.operators import population as po
 from strandframe.operators import reads as rd
 from strandframe.operators import resampling
@@ -394,3 +395,60 @@ def direct_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = shown.select(F.col("query").alias("contig"), F.col("q_start").alias("pos"), plus("q_bases").alias("ref"), plus("t_bases").alias("alt"))
     out = lift.direct_check(v, records, query, target, 1000).where("ref_matches_h1 and alt_matches_h2")
     return out.groupBy("strand", "op", "h2_base", "alt").agg(F.count("*").alias("n"))
+
+
+_PANEL = f"""i as ({t.INTERVALS}), f as (select distinct l_returnflag as "set", l_orderkey * 10 + l_linenumber as id, contig, start, end_ from i), m as (select distinct contig, pos from (select user_id % 100 + 1 as contig, unnest(range(event_id % 2000, event_id % 2000 + 15)) as pos from events)),
+b as (select "set", id, contig, unnest(range(start, end_)) as pos from f)"""
+
+
+@register(
+    "panel_coverage",
+    f"""with {_PANEL}, e as (select "set", id, count(*) as n, count(m.pos) as k from b left join m on m.contig = b.contig and m.pos = b.pos group by 1, 2), u as (select "set", count(*) as bases, count(m.pos) as callable_bases from (select distinct "set", contig, pos from b) b left join m on m.contig = b.contig and m.pos = b.pos group by 1)
+select "set", count(*) as features, count(*) filter (where k > 0) as overlapped, count(*) filter (where k = n) as covered, any_value(bases) as bases, any_value(callable_bases) as callable_bases, any_value(bases - callable_bases) as lost_bases from e join u using ("set") group by 1""",
+)
+def panel_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of the line items' intervals against what the events cover."""
+    feats = t.intervals(spark, sf_dir).select(F.col("l_returnflag").alias("set"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "contig", "start", "end")
+    mapping = t.points(spark, sf_dir).select("contig", F.col("pos").alias("start"), (F.col("pos") + 15).alias("end"))
+    return panel.set_coverage(feats, mapping)
+
+
+@register(
+    "panel_class_blocks",
+    f"""with i as ({t.INTERVALS}), c as (select distinct l_returnflag as class, contig, pos from (select l_returnflag, contig, unnest(range(start, end_)) as pos from i)), s as (select distinct user_id % 100 + 1 as contig, event_id % 2000 as pos from events)
+select class, c.contig, c.pos // 500 as block, count(*) as den, count(s.pos) as num from c left join s on s.contig = c.contig and s.pos = c.pos group by all""",
+)
+def panel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = iv.merge(t.intervals(spark, sf_dir).select(F.col("l_returnflag").alias("class"), "contig", "start", "end"), ["class", "contig"])
+    return panel.class_blocks(classes, t.points(spark, sf_dir), 500).select("class", "contig", "block", "den", "num")
+
+
+_GENES = f"""{_SEQ}, z as (select doc_id, replace(seq, 'N', '') as seq from s where length(replace(seq, 'N', '')) > 0), g as (select doc_id, seq, length(seq) as n, 15 + doc_id % 7 as a, doc_id % 3 as p0, 18 + doc_id % 5 as m, case when doc_id % 11 = 0 then 10 + doc_id % 7 else 25 + doc_id % 7 end as b from z),
+h as (select *, ((3 - (a - p0) % 3) % 3 + case when doc_id % 4 = 0 then 1 else 0 end) % 3 as p1, (seq[1:a] || seq[b + 1:b + m])[p0 + 1:] as cds from g),
+k as (select *, list_transform(range(0, length(cds) // 3), lambda j: cds[3 * j + 1:3 * j + 3]) as codons from h),
+e as (select doc_id, cds, codons, case when doc_id % 11 = 0 then 'overlapping_segments' when n < b + m then 'outside_contig' when doc_id % 4 = 0 then 'phase_chain' when length(cds) % 3 <> 0 then 'partial_codon' when cds like '%N%' then 'ambiguous_base'
+ when len(list_filter(codons[1:len(codons) - 1], lambda x: x in ('TAA', 'TAG', 'TGA'))) > 0 then 'internal_stop' end as error from k)"""
+
+
+def _genes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two segments of every document's sequence as a transcript, and the sequences in chunks."""
+    d = F.col("doc_id")
+    plain = _sequences(spark, sf_dir).withColumn("seq", F.replace("seq", F.lit("N"), F.lit(""))).where("length(seq) > 0")
+    s = plain.withColumns({"a": 15 + d % 7, "m": 18 + d % 5, "b": F.when(d % 11 == 0, 10 + d % 7).otherwise(25 + d % 7), "p0": (d % 3).cast("int")})
+    p1 = ((3 - (F.col("a") - F.col("p0")) % 3) % 3 + F.when(d % 4 == 0, 1).otherwise(0)) % 3
+    name = d.cast("string")
+    part = lambda start, end, phase: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), phase.cast("int").alias("phase"))
+    rows = s.select(name.alias("transcript_id"), name.alias("contig"), F.lit("+").alias("strand"), F.explode(F.array(part(F.lit(0), F.col("a"), F.col("p0")), part(F.col("b"), F.col("b") + F.col("m"), p1))).alias("x"))
+    return rows.select("transcript_id", "contig", "strand", "x.*"), sq.chunks(plain.select(name.alias("contig"), "seq"), "seq", size=1000)
+
+
+@register("annotation_transcript_errors", f"with {_GENES} select coalesce(error, 'ok') as error, count(*) as n, coalesce(sum(case when error is null then length(cds) - case when codons[len(codons)] in ('TAA', 'TAG', 'TGA') then 3 else 0 end end), 0)::bigint as coding_bases, count(*) filter (where error is null and codons[len(codons)] in ('TAA', 'TAG', 'TGA')) as stops from e group by 1")
+def transcript_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = panel.transcript_errors(*_genes(spark, sf_dir), 1000)
+    return out.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("cds").cast("long")), F.lit(0)).alias("coding_bases"), F.count_if("terminal_stop").alias("stops"))
+
+
+@register("annotation_exact_fourfold", f"with {_GENES}, {_CODE}, x as (select e.doc_id, unnest(range(len(codons) - case when codons[len(codons)] in ('TAA', 'TAG', 'TGA') then 1 else 0 end)) as j, codons, a, b, p0 from e join g using (doc_id) where error is null), y as (select doc_id, codons[j + 1] as codon, 3 * j + 2 + p0 as third, a, b from x) select doc_id::varchar as contig, case when third < a then third else third - a + b end as pos from y join c using (codon) where fourfold")
+def exact_fourfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, table = _genes(spark, sf_dir)
+    return panel.exact_fourfold_sites(segments, table, 1000)[0]
