@@ -6,7 +6,7 @@ position = minute), depth in events per minute, and statistics in orders, lineit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,12 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MINUTES = "select user_id % 4 as contig, epoch_us(ts) // 60000000 as pos, count(*) as depth from events group by 1, 2"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with line_id, which tells all rows apart that are not alike in every column."""
+    by = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", "l_extendedprice")
+    return read(spark, sf_dir, "lineitem").withColumn("line_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.row_number().over(by))
+
+
+LINES = "(select *, (l_orderkey * 10 + l_linenumber) * 100 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag, l_extendedprice) as line_id from lineitem)"

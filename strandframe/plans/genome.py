@@ -92,10 +92,10 @@ def psmcfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.psmcfa(table)
 
 
-@register("seq_wrapped_lines", f"with {_SEQ} select doc_id, ((length(seq) + 59) // 60)::bigint as lines, md5(seq[1:60]) as first from s where length(seq) > 0")
+@register("seq_wrapped_lines", f"with {_SEQ} select doc_id, ((length(seq) + 59) // 60)::bigint as lines, md5(rtrim(regexp_replace(seq, '(.{{60}})', '\\1|', 'g'), '|')) as digest from s where length(seq) > 0")
 def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sq.wrapped("seq")
-    return _sequences(spark, sf_dir).where(F.length("seq") > 0).select("doc_id", F.size(w).cast("long").alias("lines"), F.md5(F.element_at(w, 1)).alias("first"))
+    return _sequences(spark, sf_dir).where(F.length("seq") > 0).select("doc_id", F.size(w).cast("long").alias("lines"), F.md5(F.array_join(w, "|")).alias("digest"))
 
 
 _SNP = "v as (select l_orderkey * 10 + l_linenumber as id, l_suppkey as contig, l_partkey as pos, ['A','C','G','T'][(l_partkey % 4 + 1)::int] as ref, ['A','C','G','T','AT'][(l_quantity::bigint % 5 + 1)::int] as alt from lineitem)"
@@ -141,7 +141,7 @@ def site_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "diversity_with_denominator",
-    f"""with i as ({t.INTERVALS}), m as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_linenumber = 7)),
+    f"""with i as ({t.INTERVALS}), m as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i)),
 c as (select l_suppkey as contig, l_partkey as pos, l_returnflag, count(*) as c from lineitem group by 1, 2, 3), g as (select contig, pos, sum(c) as n, sum(c * (c - 1)) as s from c group by 1, 2),
 d as (select contig, pos, 1 - s / (n * (n - 1))::double as d from g where n >= 2), den as (select contig, pos // 500 as block, count(*) as den from m group by 1, 2),
 num as (select contig, pos // 500 as block, sum(d) as num from d join m using (contig, pos) group by 1, 2)
@@ -150,7 +150,7 @@ select contig, block, round(coalesce(num, 0), 9) as num, den, round(coalesce(num
 def denominator(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("pos"), "l_returnflag")
     sites = po.site_diversity(li, ["contig", "pos"], "l_returnflag")
-    mask = iv.merge(t.intervals(spark, sf_dir).where("l_linenumber = 7"))
+    mask = iv.merge(t.intervals(spark, sf_dir))
     out = po.diversity_with_denominator(sites, mask, 500)
     return out.select("contig", "block", F.round("num", 9).alias("num"), "den", F.round("diversity", 9).alias("diversity"))
 
@@ -170,13 +170,13 @@ def strength_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.strength_ratio(li, ["l_returnflag"], "ref", "l_tax", "l_quantity").select("l_returnflag", F.round("ratio", 9).alias("ratio"))
 
 
-@register("variant_site_sets", """with a as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linenumber = 1), b as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linenumber = 2),
+@register("variant_site_sets", """with a as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linestatus = 'F'), b as (select distinct l_suppkey as c, l_partkey as p from lineitem where l_linestatus <> 'F'),
 n as (select (select count(*) from a semi join b using (c, p)) as both_, (select count(*) from a anti join b using (c, p)) as oa, (select count(*) from b anti join a using (c, p)) as ob)
 select both_ as "both", oa as only_a, ob as only_b, round(both_ / (both_ + oa + ob)::double, 9) as jaccard, round(both_ / (both_ + oa)::double, 9) as "precision", round(both_ / (both_ + ob)::double, 9) as recall from n""")
 def site_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
-    pick = lambda n: li.where(F.col("l_linenumber") == n).select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("p"))
-    out = po.site_sets(pick(1), pick(2), ["c", "p"])
+    pick = lambda which: li.where(which).select(F.col("l_suppkey").alias("c"), F.col("l_partkey").alias("p"))
+    out = po.site_sets(pick("l_linestatus = 'F'"), pick("l_linestatus <> 'F'"), ["c", "p"])
     return out.withColumns({c: F.round(c, 9) for c in ("jaccard", "precision", "recall")})
 
 
@@ -236,15 +236,15 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("lambda_corr", "time_corr", "log_rmse")})
 
 
-@register("annotation_partition_summary", f"""with i as ({t.INTERVALS}), part as (select distinct l_returnflag as name, contig, pos from (select l_returnflag, contig, unnest(range(start, end_)) as pos from i where l_linenumber = 7) ),
-mask as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_linenumber = 6)), ok as (select name, contig, pos from part join mask using (contig, pos)),
-v as (select distinct l_suppkey as contig, l_partkey as pos, l_orderkey * 10 + l_linenumber as id from lineitem where l_linenumber = 5), bp as (select name, count(*) as bp from ok group by name), n as (select name, count(*) as n from ok join v using (contig, pos) group by name)
+@register("annotation_partition_summary", f"""with i as ({t.INTERVALS}), part as (select distinct l_returnflag as name, contig, pos from (select l_returnflag, contig, unnest(range(start, end_)) as pos from i)),
+mask as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_linestatus = 'F')), ok as (select name, contig, pos from part join mask using (contig, pos)),
+v as (select distinct l_suppkey as contig, l_partkey as pos, line_id as id from {t.LINES}), bp as (select name, count(*) as bp from ok group by name), n as (select name, count(*) as n from ok join v using (contig, pos) group by name)
 select name, bp, coalesce(n, 0) as variants, round(coalesce(n, 0) / bp::double, 9) as rate from bp left join n using (name)""")
 def partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
-    parts = i.where("l_linenumber = 7").select(F.col("l_returnflag").alias("name"), "contig", "start", "end")
-    mask = iv.merge(i.where("l_linenumber = 6"))
-    v = i.where("l_linenumber = 5").select("contig", "start", (F.col("start") + 1).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("variant_id")).distinct()
+    parts = i.select(F.col("l_returnflag").alias("name"), "contig", "start", "end")
+    mask = iv.merge(i.where("l_linestatus = 'F'"))
+    v = t.lines(spark, sf_dir).select(F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + 1).alias("end"), F.col("line_id").alias("variant_id"))
     return sq.partition_summary(parts, mask, v).withColumn("rate", F.round("rate", 9))
 
 
@@ -260,7 +260,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
     mask = i.where("l_returnflag = 'A'").select("contig", "start", "end")
     v = _variants(spark, sf_dir)
-    return sq.consensus_counts(mask, v.where(F.length("alt") == 1).select("contig", "pos"), v.where((F.length("alt") > 1) & (F.col("id") % 10 == 7)).select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
+    return sq.consensus_counts(mask, v.where(F.length("alt") == 1).select("contig", "pos"), v.where(F.length("alt") > 1).select("contig", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")))
 
 
 @register("reads_spectrum_heterozygosity")

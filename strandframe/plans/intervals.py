@@ -70,25 +70,25 @@ def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.uniquely_covered(t.intervals(spark, sf_dir), width=_WIDTH).withColumnRenamed("end", "end_")
 
 
-@register("interval_overlap_join", f"with {_A} select a.contig, count(*) as pairs, sum(least(a.end_, b.end_) - greatest(a.start, b.start))::bigint as bases from (select * from a0 where l_linestatus = 'O') a join (select * from b0 where l_linenumber = 1) b on a.contig = b.contig and a.start < b.end_ and b.start < a.end_ group by a.contig")
+@register("interval_overlap_join", f"with {_A} select a.contig, count(*) as pairs, sum(least(a.end_, b.end_) - greatest(a.start, b.start))::bigint as bases from (select * from a0 where l_linestatus = 'O') a join b0 b on a.contig = b.contig and a.start < b.end_ and b.start < a.end_ group by a.contig")
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir).select("contig", "start", "end", "l_returnflag", "l_linestatus", "l_linenumber")
-    a, b = i.where("l_returnflag = 'A' and l_linestatus = 'O'").select("contig", "start", "end"), i.where("l_returnflag = 'R' and l_linenumber = 1").select("contig", "start", "end")
+    a, b = i.where("l_returnflag = 'A' and l_linestatus = 'O'").select("contig", "start", "end"), i.where("l_returnflag = 'R'").select("contig", "start", "end")
     met = iv.overlaps(a, b, width=64)
     return met.groupBy("contig").agg(F.count("*").alias("pairs"), F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("bases"))
 
 
-@register("interval_overlap_select", f"with {_A} select l_orderkey, l_linenumber, contig, start, end_ from a0 where exists (select 1 from b0 where b0.contig = a0.contig and b0.l_linenumber = 7 and a0.start < b0.end_ and b0.start < a0.end_)")
+@register("interval_overlap_select", f"with {_A} select l_orderkey, l_linenumber, contig, start, end_ from a0 where exists (select 1 from b0 where b0.contig = a0.contig and a0.start < b0.end_ and b0.start < a0.end_)")
 def overlap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
-    hit = iv.overlaps(i.where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "contig", "start", "end"), i.where("l_returnflag = 'R' and l_linenumber = 7").select("contig", "start", "end"), width=64, how="semi")
+    hit = iv.overlaps(i.where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "contig", "start", "end"), i.where("l_returnflag = 'R'").select("contig", "start", "end"), width=64, how="semi")
     return hit.withColumnRenamed("end", "end_")
 
 
-@register("interval_overlap_names", f"with {_A} select a.l_orderkey, a.l_linenumber, string_agg(b.name, ',' order by b.name) as names from a0 a join (select distinct contig, start, end_, l_orderkey::varchar as name from b0 where l_linenumber = 7) b on a.contig = b.contig and a.start < b.end_ and b.start < a.end_ group by a.l_orderkey, a.l_linenumber")
+@register("interval_overlap_names", f"with {_A} select a.l_orderkey, a.l_linenumber, string_agg(b.name, ',' order by b.name) as names from a0 a join (select distinct contig, start, end_, l_orderkey::varchar as name from b0) b on a.contig = b.contig and a.start < b.end_ and b.start < a.end_ group by a.l_orderkey, a.l_linenumber")
 def overlap_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
-    b = i.where("l_returnflag = 'R' and l_linenumber = 7").select("contig", "start", "end", F.col("l_orderkey").cast("string").alias("name")).distinct()
+    b = i.where("l_returnflag = 'R'").select("contig", "start", "end", F.col("l_orderkey").cast("string").alias("name")).distinct()
     met = iv.overlaps(i.where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", "contig", "start", "end"), b, width=64)
     return met.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
@@ -118,8 +118,8 @@ _REASONS = ("A", "R", "N")
     "interval_reason_mask",
     f"""with {_A}, u as (select distinct contig, 0 as start, 2200 as end_ from i),
 ev as (select contig, pos, sum(a) as a, sum(r) as r, sum(n) as n from (
-  select contig, start as pos, (l_returnflag = 'A')::int as a, (l_returnflag = 'R')::int as r, (l_returnflag = 'N')::int as n from i where l_linenumber = 7
-  union all select contig, end_, -(l_returnflag = 'A')::int, -(l_returnflag = 'R')::int, -(l_returnflag = 'N')::int from i where l_linenumber = 7
+  select contig, start as pos, (l_returnflag = 'A')::int as a, (l_returnflag = 'R')::int as r, (l_returnflag = 'N')::int as n from i
+  union all select contig, end_, -(l_returnflag = 'A')::int, -(l_returnflag = 'R')::int, -(l_returnflag = 'N')::int from i
   union all select contig, start, 0, 0, 0 from u union all select contig, end_, 0, 0, 0 from u) group by contig, pos),
 sg as (select contig, pos as start, lead(pos) over w as end_, sum(a) over w as a, sum(r) over w as r, sum(n) over w as n from ev window w as (partition by contig order by pos)),
 cl as (select contig, least(start, 2200) as start, least(end_, 2200) as end_, case when a > 0 then 'A' when r > 0 then 'R' when n > 0 then 'N' else 'callable' end as reason from sg where end_ is not null and start < 2200)
@@ -128,7 +128,7 @@ select contig, reason, sum(end_ - start)::bigint as bases from cl group by conti
 def reason_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
     universe = i.select("contig").distinct().select("contig", F.lit(0).cast("long").alias("start"), F.lit(2200).cast("long").alias("end"))
-    reasons = i.where("l_linenumber = 7").select("contig", F.col("l_returnflag").alias("reason"), "start", "end")
+    reasons = i.select("contig", F.col("l_returnflag").alias("reason"), "start", "end")
     masked = iv.reason_mask(universe, reasons, _REASONS, width=_WIDTH)
     return masked.groupBy("contig", "reason").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
@@ -182,14 +182,14 @@ def position_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "interval_axis_audit",
-    f"""with i as (select *, l_orderkey * 10 + l_linenumber as id from ({t.INTERVALS}) where l_linenumber = 7), {_DEPTH},
+    f"""with i as (select line_id as id, l_suppkey as contig, l_partkey as start, l_partkey + l_quantity::bigint as end_ from {t.LINES}), {_DEPTH},
 x as (select contig, max(depth) as max_depth from sg where end_ is not null group by contig),
 p as (select a.contig, a.id, count(*) as n from i a join i b on a.contig = b.contig and a.id <> b.id and a.start < b.end_ and b.start < a.end_ and (least(a.end_, b.end_) - greatest(a.start, b.start)) / least(a.end_ - a.start, b.end_ - b.start)::double > 0.5 group by a.contig, a.id),
 s as (select contig, sum(n) / 2 as c, max(n) + 1 as m from p group by contig)
 select x.contig, max_depth::bigint as max_depth, coalesce(c, 0)::bigint as conflicts, coalesce(m, 1)::bigint as max_conflicts from x left join s using (contig)""",
 )
 def axis_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = t.intervals(spark, sf_dir).where("l_linenumber = 7").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    i = t.lines(spark, sf_dir).select(F.col("line_id").alias("id"), F.col("l_suppkey").alias("contig"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
     out = iv.axis_audit(i, 0.5, width=64)
     return out.select("contig", *[F.col(c).cast("long").alias(c) for c in ("max_depth", "conflicts", "max_conflicts")])
 
