@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,34 +100,20 @@ def fetch(table: DataFrame, spans: DataFrame, size: int = 1 << 16) -> DataFrame:
     return spans.join(got, ["contig", "start", "end"], "left")
 
 
-def pattern_intervals(table: DataFrame, patterns: Sequence[str], overlap: int = 0) -> DataFrame:
-    """(contig, start, end): merged matches of regular expressions in chunks.
+def pattern_intervals(table: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """(contig, start, end): merged matches of regular expressions in chunks; runs of single symbols join over chunk edges.
 
-    Spark has no function for all offsets of a pattern, so chunks go through Arrow in batches. Runs of single symbols
-    join over chunk edges when merged; for patterns with a least length each chunk is searched together with the first
-    `overlap` symbols of the next one, and what starts in the chunk itself counts. Chunks must be of that size at least.
+    Spark has no function for all offsets of a pattern, so chunks go through Arrow in batches.
     """
     found = [re.compile(p) for p in patterns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contigs, starts, ends = [], [], []
-            for contig, at, seq, more in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for p in found:
-                    for m in p.finditer((seq or "") + (more or "")):
-                        if m.start() >= len(seq or ""):
-                            break
-                        contigs.append(contig)
-                        starts.append(at + m.start())
-                        ends.append(at + m.end())
-            yield pa.RecordBatch.from_arrays([pa.array(contigs, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["contig", "start", "end"])
+            rows = [(contig, at + m.start(), at + m.end()) for contig, at, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for p in found for m in p.finditer(seq or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["contig", "start", "end"])
 
     kind = table.schema["contig"].dataType.simpleString()
-    own = table.select("contig", "chunk_start", "seq", F.lit("").alias("more"))
-    if overlap:
-        following = table.select("contig", F.col("chunk_start").alias("_at"), F.substring("seq", 1, overlap).alias("more"))
-        own = table.withColumn("_at", F.col("chunk_start") + F.length("seq")).join(following, ["contig", "_at"], "left").select("contig", "chunk_start", "seq", "more")
-    return iv.merge(own.mapInArrow(run, f"contig {kind}, start long, end long"))
+    return iv.merge(table.select("contig", "chunk_start", "seq").mapInArrow(run, f"contig {kind}, start long, end long"))
 
 
 def non_acgt(table: DataFrame) -> DataFrame:
@@ -134,9 +121,63 @@ def non_acgt(table: DataFrame) -> DataFrame:
     return pattern_intervals(table, ["[^ACGTacgt]+"])
 
 
+def tandem_repeats(table: DataFrame, copies: dict[int, int]) -> DataFrame:
+    """(contig, start, end): merged runs of a unit of so many bases (the keys) in at least so many whole copies.
+
+    A base that is equal to the one a unit later is found where it lies, with the first bases of the chunks that follow;
+    such bases join to stretches over any number of chunks, so results do not depend on how sequences are cut. Of a
+    stretch the whole copies count, from its start, or from the end of the repeat before if that reaches into it.
+    """
+    widest = max(copies)
+    own = table.select("contig", "chunk_start", "seq", (F.col("chunk_start") + F.length("seq")).alias("_end"))
+    heads = table.where(F.length("seq") > 0).select("contig", F.col("chunk_start").alias("_end"), F.substring("seq", 1, widest).alias("_more"), (F.col("chunk_start") + F.length("seq")).alias("_next"))
+    ahead = heads
+    for _ in range(widest - 1):  # chunks may be as short as one base
+        further = heads.select("contig", F.col("_end").alias("_next"), F.col("_more").alias("_then"), F.col("_next").alias("_after"))
+        ahead = ahead.join(further, ["contig", "_next"], "left").select("contig", "_end", F.substring(F.concat("_more", F.coalesce("_then", F.lit(""))), 1, widest).alias("_more"), F.coalesce("_after", "_next").alias("_next"))
+    rows = own.join(ahead.select("contig", "_end", "_more"), ["contig", "_end"], "left").select("contig", "chunk_start", "seq", F.coalesce("_more", F.lit("")).alias("more"))
+    bases = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for contig, at, seq, more in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = np.frombuffer(((seq or "") + more).encode("ascii", "replace"), np.uint8)
+                known, n = np.isin(text, bases), len(seq or "")
+                for unit, least in copies.items():
+                    m = max(0, min(n, len(text) - unit))
+                    same = np.zeros(m + 2, np.int8)
+                    same[1:-1] = (text[:m] == text[unit : unit + m]) & known[:m]
+                    step = np.diff(same)
+                    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+                        if a == 0 or b == n or b - a >= unit * (least - 1):
+                            out.append((contig, unit, at + a, at + b))
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["contig", "unit", "start", "end"])
+
+    kind = table.schema["contig"].dataType.simpleString()
+    runs = iv.merge(rows.mapInArrow(run, f"contig {kind}, unit int, start long, end long"), ["contig", "unit"])
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in copies.items() for x in pair]), F.col("unit")) * F.col("unit")
+    long_ = runs.withColumn("end", F.col("end") + F.col("unit")).where(F.col("end") - F.col("start") >= least)
+    by = Window.partitionBy("contig", "unit").orderBy("start")
+    chained = long_.withColumn("_c", F.sum(F.coalesce((F.col("start") >= F.lag("end").over(by)).cast("int"), F.lit(1))).over(by))
+    chain = chained.groupBy("contig", "unit", "_c").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    last = lambda done, s: F.aggregate(F.slice(done, F.greatest(F.size(done), F.lit(1)), F.lit(1)), s["start"], lambda acc, x: F.greatest(acc, x["end"]))
+
+    def step(done: Column, s: Column) -> Column:
+        start = last(done, s)
+        whole = start + F.floor((s["end"] - start) / F.col("unit")) * F.col("unit")
+        return F.when(whole - start >= least, F.concat(done, F.array(F.struct(start.alias("start"), whole.alias("end"))))).otherwise(done)
+
+    found = chain.select("contig", F.explode(F.aggregate("_s", none, step)).alias("m")).select("contig", "m.start", "m.end")
+    return iv.merge(found)
+
+
 def low_complexity(table: DataFrame) -> DataFrame:
     """One base ten times or more, two bases ten times, three bases seven times."""
-    return pattern_intervals(table, [r"([ACGT])\1{9,}", r"([ACGT]{2})\1{9,}", r"([ACGT]{3})\1{6,}"], overlap=21)
+    return tandem_repeats(table, {1: 10, 2: 10, 3: 7})
 
 
 def ordered_segments(segments: DataFrame, keys: Sequence[str] = ("transcript_id",)) -> DataFrame:

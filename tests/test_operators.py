@@ -236,3 +236,22 @@ def test_low_complexity_over_chunk_edges(spark):
 def test_plus_signs_in_attributes(spark):
     d = spark.createDataFrame([("Note=a+b%2Bc%20d",)], "a string")
     assert d.select(sc.attributes(F.col("a")).alias("m")).first().m == {"Note": "a+b+c d"}
+
+
+def test_low_complexity_is_the_same_for_every_chunk_size(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    parts = ["A" * 10, "CT" * 10 + "C", "ACG" * 9, "AC" * 11, "CA" * 10, "ACA" * 8, "N" * 4, "G" * 25, "GT" * 9, "TAT" * 7 + "TA", "CTC" * 7]
+    text = "".join(rng.choice(parts) + "".join(rng.choices("ACGT", k=rng.choice([0, 0, 1, 3, 8]))) for _ in range(40))
+    patterns = [r"([ACGT])\1{9,}", r"([ACGT]{2})\1{9,}", r"([ACGT]{3})\1{6,}"]
+    open_ = {p for x in patterns for m in re.finditer(x, text) for p in range(m.start(), m.end())}
+    assert open_ and len(open_) < len(text)
+    sizes = [1, 2, 3, 5, 22, 41, 45, 1000, len(text)]
+    rows = [(str(size), k, text[k : k + size]) for size in sizes for k in range(0, len(text), size)]
+    got = {}
+    for r in sq.low_complexity(spark.createDataFrame(rows, "contig string, chunk_start long, seq string").repartition(6)).collect():
+        got.setdefault(r.contig, set()).update(range(r.start, r.end))
+    for size in sizes:
+        assert got[str(size)] == open_, size
