@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,13 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that files of tables it no longer names go.
+
+    Spark deletes shuffle and checkpoint files only when the driver's objects for them are collected, which may take as
+    long as its heap has room; a job of many rounds would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.operators._folders import shared_folder
+from strandframe.operators._folders import let_go, shared_folder
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -33,4 +33,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = small.where("u <> v").distinct().checkpoint()
+        del both, low, large, least, tied, small, ends
+        let_go(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
