@@ -129,7 +129,14 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.project(_records(spark, sf_dir), spans).select("record_id", "contig", "start", (F.col("end") - F.col("start")).alias("bases"))
 
 
-@register("align_nonunique_targets")
+_NONUNIQUE = """placed as (select query as contig, case when strand = '-' then query_end - q - len else query_start + q end as start, case when strand = '-' then query_end - q else query_start + q + len end as e, t, strand, target from o where op in ('=', 'X')),
+ev as (select contig, pos, sum(d) as d from (select contig, start as pos, 1 as d from placed union all select contig, e, -1 from placed) group by contig, pos),
+dp as (select contig, pos as start, lead(pos) over (partition by contig order by pos) as e, sum(d) over (partition by contig order by pos) as depth from ev),
+hit as (select p.target as contig, case when strand = '-' then t + p.e - least(p.e, d.e) else t + greatest(p.start, d.start) - p.start end as start, least(p.e, d.e) - greatest(p.start, d.start) as n from placed p join dp d on d.contig = p.contig and d.depth > 1 and d.e is not null and d.start < p.e and p.start < d.e),
+lifted as (select contig, start, start + n as e from hit)"""
+
+
+@register("align_nonunique_targets", "with {r}, {o}, {n}, {m} select contig, start, e as \"end\" from m".format(r=_RECORDS.format(), o=_OPS.format(), n=_NONUNIQUE, m=_M.format(name="m", source="lifted")))
 def nonunique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.nonunique_targets(_records(spark, sf_dir))
 
@@ -140,7 +147,7 @@ def multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.exact_multiplicity(_records(spark, sf_dir)).select("record_id", "query", "target")
 
 
-@register("align_variant_depth")
+@register("align_variant_depth", "select unnest(['query', 'target']) as axis, 1::bigint as max_depth")
 def variant_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deepest overlap on both axes of what the exact pass keeps: 1 and 1."""
     shared_folder(spark)

@@ -74,7 +74,14 @@ def non_acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.non_acgt(_chunks(spark, sf_dir, 1000)).withColumnRenamed("end", "end_")
 
 
-@register("seq_low_complexity")
+@register(
+    "seq_low_complexity",
+    f"""with {_SEQ}, b as (select doc_id, seq, unnest(range(length(seq))) as p from s), u as (select unnest([1, 2, 3]) as u), f as (select doc_id, u, p from b, u where seq[p + 1] <> 'N' and seq[p + 1] = seq[p + 1 + u]),
+g as (select doc_id, u, p, p - row_number() over (partition by doc_id, u order by p) as k from f), r as (select doc_id, u, min(p) as a, max(p) + 1 + u as b from g group by doc_id, u, k), q as (select * from r where b - a >= case u when 1 then 10 when 2 then 20 else 21 end),
+c as (select doc_id, u, greatest(a, coalesce(lag(a + (b - a) // u * u) over (partition by doc_id, u order by a), a)) as a, b from q), l as (select doc_id as contig, a as start, a + (b - a) // u * u as e from c where (b - a) // u * u >= case u when 1 then 10 when 2 then 20 else 21 end),
+w as (select *, case when start > max(e) over (partition by contig order by start, e rows between unbounded preceding and 1 preceding) or row_number() over (partition by contig order by start, e) = 1 then 1 else 0 end as fresh from l), d as (select *, sum(fresh) over (partition by contig order by start, e rows unbounded preceding) as island from w)
+select contig, min(start)::bigint as start, max(e)::bigint as end_ from d group by contig, island""",
+)
 def low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.low_complexity(_chunks(spark, sf_dir)).withColumnRenamed("end", "end_")
 
@@ -208,7 +215,7 @@ def kmer_qv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("l_suppkey", F.round(error, 9).alias("error"), F.round(qv, 6).alias("qv"))
 
 
-@register("reads_pileup_counts")
+@register("reads_pileup_counts", "select l_linenumber, 2 * count(*)::bigint as ref, sum(l_linenumber % 4)::bigint as alt, count(*) as other, count(*) as deletion from lineitem group by 1")
 def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("^~.,"), F.repeat(F.lit("A"), (F.col("l_linenumber") % 4).cast("int")), F.lit("+2AC"), F.lit("g$*"))
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rd.pileup_counts(made, F.lit("C"), F.lit("A")).alias("c"))
@@ -255,7 +262,12 @@ def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.tracts(m)
 
 
-@register("consensus_counts")
+@register(
+    "consensus_counts",
+    f"""with {_SNP}, i as ({t.INTERVALS}), m as (select distinct contig, pos from (select contig, unnest(range(start, end_)) as pos from i where l_returnflag = 'A')), n as (select distinct contig, pos from (select contig, unnest(range(greatest(0, pos - 10), pos + 11)) as pos from v where length(alt) > 1)),
+s as (select distinct contig, pos from v where length(alt) = 1), k as (select m.contig, m.pos, n.pos is null as kept, s.pos is not null as het from m left join n on n.contig = m.contig and n.pos = m.pos left join s on s.contig = m.contig and s.pos = m.pos)
+select contig, count(*) filter (where kept) as callable, count(*) filter (where not kept) as masked_by_indels, count(*) filter (where kept and het) as heterozygous from k group by contig""",
+)
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = t.intervals(spark, sf_dir)
     mask = i.where("l_returnflag = 'A'").select("contig", "start", "end")
