@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.functions import documents as dc
 from strandframe.functions import scalars as sc
 from strandframe.operators import ledger as lg
 from strandframe.operators import selection as se
@@ -162,3 +163,30 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda n: li.where(F.col("l_linenumber") == n).select("l_partkey")
     count = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
     return count(c.intersect(s), "intersect").unionByName(count(p(1).subtract(p(2)), "except")).unionByName(count(c.unionByName(s), "union"))
+
+
+_ORDER = {
+    "type": "object", "required": ["key", "status"], "additionalProperties": False,
+    "properties": {"status": {"enum": ["F", "O"]}, "key": {"type": "integer", "minimum": 100}, "priority": {"type": "string", "pattern": "^[1-3]"}, "items": {"type": "array", "uniqueItems": True, "items": {"maximum": 3}}},
+}
+
+
+@register(
+    "json_schema_faults",
+    """with f as (select unnest([case when o_orderstatus not in ('F', 'O') then {'pointer': '/status', 'rule': 'enum'} end, case when o_orderkey < 100 then {'pointer': '/key', 'rule': 'minimum'} end, case when o_orderpriority[1] not in ('1', '2', '3') then {'pointer': '/priority', 'rule': 'pattern'} end,
+ case when o_custkey % 5 = o_custkey % 3 then {'pointer': '/items', 'rule': 'uniqueItems'} end, case when o_custkey % 5 > 3 then {'pointer': '/items/0', 'rule': 'maximum'} end, case when o_custkey % 7 = 0 then {'pointer': '/extra', 'rule': 'additionalProperties'} end]) as x from orders)
+select x.pointer as pointer, x.rule as rule, count(*) as n from f where x is not null group by 1, 2""",
+)
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON documents against a schema."""
+    text = lambda c: F.col(c).cast("string")
+    doc = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","key":'), text("o_orderkey"), F.lit(',"priority":"'), "o_orderpriority", F.lit('","items":['), (F.col("o_custkey") % 5).cast("string"), F.lit(","), (F.col("o_custkey") % 3).cast("string"), F.lit("]"), F.when(F.col("o_custkey") % 7 == 0, ',"extra":1}').otherwise("}"))
+    return dc.faults(read(spark, sf_dir, "orders").withColumn("doc", doc), "o_orderkey", "doc", _ORDER).groupBy("pointer", "rule").agg(F.count("*").alias("n"))
+
+
+@register("json_canonical_digest", """select event_id, sha256('{"a":[{"k":' || event_id || ',"t":"' || event_type || '"}],"b":' || props[7:-2] || '}') as digest from events""")
+def json_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON with keys out of order, a digest of their own and blanks, digested in canonical form."""
+    e = read(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{ "self": "x", "b": '), F.regexp_extract("props", r":\s*([^}]*)}", 1), F.lit(', "a": [ {"t" : "'), "event_type", F.lit('", "k": '), F.col("event_id").cast("string"), F.lit("} ]}"))
+    return dc.digests(e.withColumn("doc", doc), "event_id", "doc", without="self").select("event_id", F.col("sha256").alias("digest"))
