@@ -76,7 +76,8 @@ def non_acgt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "seq_low_complexity",
-    f"""with {_SEQ}, b as (select doc_id, seq, unnest(range(length(seq))) as p from s), u as (select unnest([1, 2, 3]) as u), f as (select doc_id, u, p from b, u where seq[p + 1] <> 'N' and seq[p + 1] = seq[p + 1 + u]),
+    f"""with {_SEQ}, b as (select doc_id, unnest(range(length(seq))) as p, unnest(string_split(seq, '')) as base from s where length(seq) > 0), h as (select doc_id, p, base, lead(base, 1) over w as b1, lead(base, 2) over w as b2, lead(base, 3) over w as b3 from b window w as (partition by doc_id order by p)),
+f as (select doc_id, u, p from (select doc_id, p, unnest([case when base = b1 then 1 end, case when base = b2 then 2 end, case when base = b3 then 3 end]) as u from h where base <> 'N') where u is not null),
 g as (select doc_id, u, p, p - row_number() over (partition by doc_id, u order by p) as k from f), r as (select doc_id, u, min(p) as a, max(p) + 1 + u as b from g group by doc_id, u, k), q as (select * from r where b - a >= case u when 1 then 10 when 2 then 20 else 21 end),
 c as (select doc_id, u, greatest(a, coalesce(lag(a + (b - a) // u * u) over (partition by doc_id, u order by a), a)) as a, b from q), l as (select doc_id as contig, a as start, a + (b - a) // u * u as e from c where (b - a) // u * u >= case u when 1 then 10 when 2 then 20 else 21 end),
 w as (select *, case when start > max(e) over (partition by contig order by start, e rows between unbounded preceding and 1 preceding) or row_number() over (partition by contig order by start, e) = 1 then 1 else 0 end as fresh from l), d as (select *, sum(fresh) over (partition by contig order by start, e rows unbounded preceding) as island from w)
