@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm._common import bytes_of, shared_folder, ship, slices
+from strandframe.operators._folders import let_go
 
 LENGTH, GRAM, SHALLOW = 200, 80, 32
 BLOCK, SOLVE_BYTES, SMALL = 1 << 17, 4 << 20, 256
@@ -310,12 +311,19 @@ def _compared(pending: DataFrame, length: int, gram: int) -> DataFrame:
     return found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("more"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows, in a compressed table of the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/marked-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, kept binary, spans, n_bytes) for every row: the bytes left, and the removed spans of the original.
 
     Null counts as empty. Rows that repeat an id and a text are documents of their own, so all their windows repeat.
     Rows are told apart by a hash of id and text together with the id. Texts cross the network once, those with
-    segments to compare twice; a table in the shared folder lies between. length is gram bytes at least, and less than
+    segments to compare twice; tables in the shared folder lie between. length is gram bytes at least, and less than
     32,768 more.
     """
     if not 0 <= length - gram < _SHAPE - 1:
@@ -324,10 +332,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("row", F.xxhash64("id", "text"))
-    marked = texts.join(_marks(texts, length, gram), "row", "left")
-    path = f"{shared_folder(spark)}/marked-{uuid.uuid4().hex}"
-    marked.write.option("compression", "zstd").parquet(path)
-    marked = spark.read.parquet(path)
+    marks = _stored(_marks(texts, length, gram))
+    let_go(spark)  # the shuffle files of each step go before the next makes its own
+    marked = _stored(texts.join(marks, "row", "left"))
+    let_go(spark)
     pending = marked.where(F.size("needs") > 0)
     more = _compared(pending, length, gram)
 

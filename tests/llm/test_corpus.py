@@ -152,6 +152,16 @@ def test_suffix_dedup_of_other_lengths(spark, length):
         suffix_dedup.remove_repeats(d, length=50)
 
 
+def test_suffix_dedup_lets_go_of_shuffles(spark, monkeypatch):
+    """Shuffle files of a step are let go before the next step, however late the driver would collect them itself."""
+    d = spark.createDataFrame([(i, f"{i % 5} " * 150 + str(i)) for i in range(40)], "doc_id long, text string")
+    steps, compared = [], suffix_dedup._compared
+    monkeypatch.setattr(suffix_dedup, "let_go", lambda _: steps.append("let go"), raising=False)
+    monkeypatch.setattr(suffix_dedup, "_compared", lambda *args: steps.append("compared") or compared(*args))
+    assert suffix_dedup.remove_repeats(d).count() == 40
+    assert steps == ["let go", "let go", "compared"]
+
+
 def test_blind_trie_and_quicksort():
     rng = random.Random(8)
     strings = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)]
