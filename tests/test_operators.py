@@ -85,6 +85,23 @@ def test_alignment_walk(spark):
             al.segments(r.withColumn("cigar", F.lit(bad).cast("string"))).collect()
 
 
+def test_segments_are_walked_where_records_lie(spark):
+    rng, rows, want = random.Random(5), [], set()
+    for i in range(40):
+        ops = [(rng.randrange(1, 1200), rng.choice("=XID")) for _ in range(rng.choice([1, 3, 2000]))]
+        t, q = (sum(n for n, o in ops if o in x) for x in ("=XD", "=XI"))
+        rows.append((i, "q", 10**9, 50, 50 + q, "+-"[i % 2], "t", 10**9, 7, 7 + t, 1, 1, 60, "".join(f"{n}{o}" for n, o in ops)))
+        a, b = 7, 0
+        for k, (n, o) in enumerate(ops):
+            on_t, on_q = n * (o in "=XD"), n * (o in "=XI")
+            start = 50 + q - b - on_q if i % 2 else 50 + b
+            want.add((i, k, o, n, a, a + on_t, start, start + on_q))
+            a, b = a + on_t, b + on_q
+    found = al.segments(spark.createDataFrame(rows, RECORD))
+    assert "cigar" not in found.columns and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.select("record_id", "op_index", "op", "length", "t_start", "t_end", "q_start", "q_end").collect()} == want
+
+
 def test_multiplicity_is_the_greedy_one(spark):
     rng = random.Random(3)
     rows = []
