@@ -85,6 +85,40 @@ def test_alignment_walk(spark):
             al.segments(r.withColumn("cigar", F.lit(bad).cast("string"))).collect()
 
 
+def test_sweep_of_records_over_bins(spark):
+    """Records around the edges of bins, against base by base; operations are never exploded, so none is shuffled."""
+    rng, edge, flank, rows = random.Random(11), 4, 3, []
+    depth, edges, flanks, changed = ({} for _ in range(4))
+    for i in range(60):
+        ops = [(rng.randrange(1, 9), rng.choice("=X=ID")) for _ in range(rng.randrange(1, 8))]
+        if i == 0:
+            ops = [(70_000, "="), (3, "D"), (70_000, "=")]
+        t, q = (sum(n for n, o in ops if o in x) for x in ("=XD", "=XI"))
+        t0 = rng.randrange(100) + iv.BIN * rng.choice([1, 2]) - 60 if i else 1000
+        t1, at, c = t0 + t, t0, f"t{i % 2}"
+        rows.append((i, "q", 10**9, 0, q, "+-"[i % 2], c, 10**9, t0, t1, 1, 1, 60, "".join(f"{n}{o}" for n, o in ops)))
+        for p in [*range(t0, min(t1, t0 + edge)), *range(max(t0, t1 - edge), t1)]:
+            edges[c, p] = True
+        for n, o in ops:
+            end = at + n * (o != "I")
+            for p in range(at, end) if o in "=X" else range(max(t0, at - flank), min(t1, end + flank + (o == "I"))):
+                if o in "=X":
+                    depth[c, p] = depth.get((c, p), 0) + 1
+                    changed[c, p] = changed.get((c, p), False) or o == "X"
+                else:
+                    flanks[c, p] = True
+            at = end
+    doubt = {("t0", p) for p in [*range(65_530, 65_545), *range(2000, 2010)]}
+    unclear = spark.createDataFrame([("t0", 65_530, 65_545), ("t0", 2000, 2010)], "contig string, start long, end long")
+    good, snvs, counts = al.traverse(spark.createDataFrame(rows, RECORD), edge, flank, unclear)
+    want = {p for p, n in depth.items() if n == 1 and p not in edges and p not in flanks and p not in doubt}
+    bases = lambda df: [(r.contig, p) for r in df.collect() for p in range(r.start, r.end)]
+    assert sorted(bases(good)) == sorted(want) and sorted(bases(snvs)) == sorted(p for p in want if changed[p])
+    assert not {(r.contig, r.end) for r in good.collect()} & {(r.contig, r.start) for r in good.collect()}
+    assert {r.reason: r.bases for r in counts.collect()} == {"alignment_edge": len(edges), "indel_flank": len(flanks), "multiple_projection": sum(n > 1 for n in depth.values()), "ambiguous_base": sum(n == 1 and p in doubt for p, n in depth.items())}
+    assert "explode" not in good._jdf.queryExecution().optimizedPlan().toString().replace("explode(sequence", "")
+
+
 def test_segments_are_walked_where_records_lie(spark):
     rng, rows, want = random.Random(5), [], set()
     for i in range(40):
