@@ -85,9 +85,8 @@ _UNPADDED = _TRAVERSE.replace("_start + 5", "_start + 0").replace("_end - 5", "_
 
 @register("align_traverse_snvs", (_UNPADDED + f", {_sub('c', 'once', 'bad')}, x as (select target as contig, t + unnest(range(len)) as pos from o where op = 'X') select contig, pos from x where exists (select 1 from c where c.contig = x.contig and x.pos >= c.start and x.pos < c.e)").format())
 def traverse_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir)
-    good, _, _ = al.traverse(records, 0, 0)
-    return al.snv_alleles(records, good).select("contig", "pos")
+    _, changed, _ = al.traverse(_records(spark, sf_dir), 0, 0)
+    return changed.select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
 
 
 @register("align_traverse_reasons", (_TRAVERSE + f", {_M.format(name='me', source='edge')}, {_M.format(name='mg', source='gap')}, {_M.format(name='mm', source='many')} select 'alignment_edge' as reason, sum(e - start)::bigint as bases from me union all select 'indel_flank', sum(e - start)::bigint from mg union all select 'multiple_projection', sum(e - start)::bigint from mm union all select 'ambiguous_base', 0").format())
