@@ -151,6 +151,16 @@ def test_multiplicity_is_the_greedy_one(spark):
     assert {r.record_id for r in got.collect()} == {k[0] for k in kept}
 
 
+def test_multiplicity_of_many_small_groups(spark):
+    """Pairs that overlap, and records alone: no call a group, and records alone meet no other."""
+    rows = [(2 * i + k, "q", 10**9, 100 * i + 5 * k, 100 * i + 5 * k + 20 + k, "+", f"t{i % 3}", 10**9, 100 * i, 100 * i + 20 + k, 20 + k, 20 + k, 60, f"{20 + k}=") for i in range(2000) for k in range(1 + i % 2)]
+    kept = al.exact_multiplicity(spark.createDataFrame(rows, RECORD))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    assert {r.record_id for r in kept.collect()} == {2 * i + i % 2 for i in range(2000)}
+    assert al.conflict_groups(spark.createDataFrame(rows, RECORD)).where("group is null").count() == 1000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 300) if i % 60 != 59] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
