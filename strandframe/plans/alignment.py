@@ -140,16 +140,21 @@ def nonunique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.nonunique_targets(_records(spark, sf_dir))
 
 
+#: Columns that no rule of the exact pass reads.
+_UNRANKED = ("query_length", "target_length", "mapq")
+
+
 @register("align_exact_multiplicity")
 def multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
-    return al.exact_multiplicity(_records(spark, sf_dir)).select("record_id", "query", "target")
+    return al.exact_multiplicity(_records(spark, sf_dir).drop(*_UNRANKED)).select("record_id", "query", "target")
 
 
 @register("align_variant_depth", "select unnest(['query', 'target']) as axis, 1::bigint as max_depth")
 def variant_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deepest overlap on both axes of what the exact pass keeps: 1 and 1."""
     shared_folder(spark)
-    kept = al.exact_multiplicity(_records(spark, sf_dir)).checkpoint()
-    both = al.axis(kept, "query").withColumn("axis", F.lit("query")).unionByName(al.axis(kept, "target").withColumn("axis", F.lit("target")))
+    kept = al.exact_multiplicity(_records(spark, sf_dir).drop(*_UNRANKED))
+    span = lambda axis: F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("contig"), F.col(f"{axis}_start").alias("start"), F.col(f"{axis}_end").alias("end"))
+    both = kept.select(F.explode(F.array(span("query"), span("target"))).alias("s")).select("s.*")
     return iv.max_depth(both, ["axis", "contig"]).groupBy("axis").agg(F.max("max_depth").alias("max_depth"))
