@@ -14,14 +14,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from strandframe.operators._folders import shared_folder
+
 Z95 = 1.959963984540054
 
 
 def quantile_linear(value: str | Column, p: float) -> Column:
-    """Rank (n - 1) p, linear between neighbours."""
+    """Rank (n - 1) p, linear between neighbours. It holds a group's distinct values; `quantiles_linear` does not."""
     return F.percentile(F.col(value) if isinstance(value, str) else value, p)
 
 
+def quantiles_linear(df: DataFrame, value: str, wanted: dict[str, float], keys: Sequence[str]) -> DataFrame:
+    """(keys, a column for each name in wanted): quantile_linear at these p, null for a group without values.
+
+    Values are counted, dealt in ranges and stored; a range's own counts start after those of the ranges before it, and
+    only ranges that hold a wanted rank are looked at, so neither a group nor its distinct values need fit in one task.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_v").withColumn("_part", F.spark_partition_id()).checkpoint()
+    by = Window.partitionBy(*keys).orderBy("_part")
+    ranges = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size")).withColumns({"_end": F.sum("_size").over(by), "_all": F.sum("_size").over(Window.partitionBy(*keys))})
+    ranges = ranges.withColumn("_start", F.col("_end") - F.col("_size"))
+    ranks = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in wanted.items()}
+    ends = [f(rank).cast("long") for rank in ranks.values() for f in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for at in ends:
+        hit |= (at >= F.col("_start")) & (at < F.col("_end"))
+    named = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
+    few = ranges.where(hit).select(*named, F.col("_part").alias("_of"), "_start", "_all")
+    met = dealt.join(few, [F.col("_part") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys))])
+    met = met.withColumn("_to", F.col("_start") + F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("_n"))
+    one = lambda at: F.max(F.when((at >= F.col("_from")) & (at < F.col("_to")), F.col("_v")))
+    found = met.groupBy(*keys).agg(F.max("_all").alias("_all"), *[one(at).alias(f"_{i}") for i, at in enumerate(ends)])
+    out = {}
+    for i, (name, rank) in enumerate(ranks.items()):
+        a, b = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}")
+        out[name] = F.when(a == b, a).otherwise((F.ceil(rank) - rank) * a + (rank - F.floor(rank)) * b)
+    empty = df.select(*keys).distinct().select(*named)
+    result = found.select(*keys, *[c.alias(name) for name, c in out.items()])
+    on = [F.col(f"_key_{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    return empty.join(result, on, "left").select(*[F.col(f"_key_{i}").alias(k) for i, k in enumerate(keys)], *wanted)
+
+
 def _sorted(value: str) -> Column:
     return F.array_sort(F.filter(F.collect_list(value), lambda v: ~F.isnan(v)))
 

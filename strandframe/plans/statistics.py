@@ -25,8 +25,8 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 @register("stat_quantile_linear", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) as low, round(quantile_cont(l_extendedprice, 0.5), 6) as middle, round(quantile_cont(l_extendedprice, 0.975), 6) as high from lineitem group by 1")
 def quantile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
-    q = lambda p: F.round(st.quantile_linear("l_extendedprice", p), 6)
-    return li.groupBy("l_returnflag").agg(q(0.025).alias("low"), q(0.5).alias("middle"), q(0.975).alias("high"))
+    out = st.quantiles_linear(li, "l_extendedprice", {"low": 0.025, "middle": 0.5, "high": 0.975}, ["l_returnflag"])
+    return out.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("low", "middle", "high")])
 
 
 @register("stat_quantile_nearest", "with s as (select l_suppkey, list(l_extendedprice order by l_extendedprice) as v from lineitem group by 1) select l_suppkey, v[round_even((len(v) - 1) * 0.25, 0)::int + 1] as low, v[round_even((len(v) - 1) * 0.75, 0)::int + 1] as high from s")
